@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mix, shard
+from . import langid, mix, shard, simhash
 from .common import table
 
 
@@ -16,5 +16,13 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_shard": op1_shard, "op9_mix": op9_mix}
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_report(table(spark, sf_dir, "documents"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_shard": op1_shard, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op9_mix": op9_mix}
 ORACLE: dict[str, str] = {}
