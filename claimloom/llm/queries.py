@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mix, shard, simhash
+from . import decontam, langid, mix, shard, simhash, suffix_dedup
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_report(table(spark, sf_dir, "documents"), 40)
 
 
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_report(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -28,5 +32,5 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_shard": op1_shard, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op8_decontaminate": op8_decontaminate, "op9_mix": op9_mix}
+QUERIES = {"op1_shard": op1_shard, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mix": op9_mix}
 ORACLE: dict[str, str] = {}
