@@ -73,3 +73,13 @@ def n_bytes(text: str | Column) -> Column:
 def n_words(text: str | Column) -> Column:
     """Words between ASCII white space; null counts none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
+def hash_sample(rows: DataFrame, n: int, key: list, seed: int) -> DataFrame:
+    """At most n rows, those with the least hash of key, in its order. Rows that are far above
+    that are filtered out where they are read, so tasks send the driver about 2 n rows in all."""
+    spread = F.xxhash64(*key, F.lit(seed))
+    total = rows.count()
+    if total > 4 * n:
+        rows = rows.filter(F.pmod(spread, F.lit(1 << 30)) < int((1 << 30) * 2 * n / total))
+    return rows.orderBy(F.pmod(spread, F.lit(1 << 30)), *key).limit(n)

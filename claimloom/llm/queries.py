@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mix, shard, simhash, suffix_dedup
+from . import decontam, langid, mix, quality, shard, simhash, suffix_dedup, topk
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_report(table(spark, sf_dir, "documents"), 40)
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k_report(table(spark, sf_dir, "embeddings"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_report(table(spark, sf_dir, "documents"))
 
@@ -32,5 +40,5 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_shard": op1_shard, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mix": op9_mix}
+QUERIES = {"op1_shard": op1_shard, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op5_topk": op5_topk, "op6_quality": op6_quality, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mix": op9_mix}
 ORACLE: dict[str, str] = {}
