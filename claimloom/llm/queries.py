@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mix, quality, shard, simhash, suffix_dedup, topk
+from . import decontam, langid, lines, mix, quality, shard, simhash, suffix_dedup, topk, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.shard_report(table(spark, sf_dir, "documents"), 40)
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(table(spark, sf_dir, "documents"))
+
+
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_report(table(spark, sf_dir, "embeddings"))
 
@@ -40,5 +44,67 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_shard": op1_shard, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op5_topk": op5_topk, "op6_quality": op6_quality, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mix": op9_mix}
-ORACLE: dict[str, str] = {}
+def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.revisit_report(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op1_shard": op1_shard, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op4_lines": op4_lines, "op5_topk": op5_topk, "op6_quality": op6_quality, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mix": op9_mix, "op10_revisits": op10_revisits}
+ORACLE: dict[str, str] = {
+    "op5_topk": """
+with v as (
+  select vec_id::bigint as vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(q.v, c.v)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+), ranked as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 5
+""",
+    "op10_revisits": """
+with p as (
+  select page_id, url, md5(coalesce(html, '')) as tag, 'day ' || (page_id % 28) as day, octet_length(encode(html))::varchar as size,
+    regexp_replace(trim(url), '#.*$', '') as bare
+  from pages
+), k as (
+  select *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) as scheme,
+    regexp_replace(bare, '^[A-Za-z][A-Za-z0-9+.-]*://', '') as rest from p
+), h as (
+  select *, lower(regexp_replace(regexp_extract(rest, '^([^/?]*)', 1), '^.*@', '')) as host,
+    regexp_extract(rest, '^[^/?]*([^?]*)', 1) as path,
+    array_to_string(list_sort(string_split(regexp_extract(rest, '\\?(.*)$', 1), '&')), '&') as query from k
+), u as (
+  select *, regexp_replace(case when scheme = 'https' then regexp_replace(host, ':443$', '') else regexp_replace(host, ':80$', '') end, '^www[0-9]*\\.', '')
+    || case when path = '' then '/' else path end || case when query = '' then '' else '?' || query end as url_key from h
+), r as (
+  select url_key, page_id, page_id * 60 as sec, '"' || tag || '"' as etag, day, size from u
+), v as (
+  select page_id, url_key, 1 as n, page_id * 60 + 86400 as sec, 'W/"' || tag || '"' as etag, null as day, 'later' as date_field, null as cache_control from u
+  union all
+  select page_id, url_key, 2, page_id * 60 + 172800, case when page_id % 5 = 0 then '"other"' when page_id % 3 <> 0 then '"' || tag || '"' end, day, null, 'max-age=60' from u
+  union all
+  select page_id, url_key, 3, page_id * 60 - 315360000, '"' || tag || '"', null, null, null from u
+), found as (
+  select v.*, r.page_id as rid, r.sec as rsec, r.etag as retag, r.day as rday, r.size as rsize,
+    row_number() over (partition by v.page_id, v.n order by r.sec desc nulls last, r.page_id::varchar || ':0' desc) as k
+  from v left join r on r.url_key = v.url_key and r.sec < v.sec
+), judged as (
+  select *, case when rid is null then 'missing'
+    when etag is not null then case when regexp_replace(etag, '^W/', '') = retag then 'resolved' else 'mismatch' end
+    when day is not null then case when day = rday then 'resolved' else 'mismatch' end
+    else 'unvalidated' end as outcome
+  from found where k = 1
+)
+select page_id || ':' || n as record_id, page_id, url_key, outcome,
+  case when outcome in ('resolved', 'unvalidated') then rid || ':0' end as response_id,
+  case when outcome in ('resolved', 'unvalidated') then (sec - rsec)::bigint end as age_s,
+  case when outcome in ('resolved', 'unvalidated') then coalesce(etag, retag) end as etag,
+  case when outcome in ('resolved', 'unvalidated') then date_field end as date_field,
+  case when outcome in ('resolved', 'unvalidated') then cache_control end as cache_control,
+  case when outcome in ('resolved', 'unvalidated') then rsize end as content_length
+from judged
+""",
+}

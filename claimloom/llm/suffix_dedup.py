@@ -35,7 +35,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, shuffle_partitions, written
@@ -386,13 +386,18 @@ def kept_bytes(text: bytes, spans: list[int] | None) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-@F.arrow_udf("struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>")
-def _digest(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for t, s in zip(texts.cast(pa.binary()).to_pylist(), spans.to_pylist()):
-        kept = kept_bytes(t or b"", s)
-        out.append({"n_bytes": len(t or b""), "n_removed": len(t or b"") - len(kept), "n_spans": len(s or ()), "kept_sha256": hashlib.sha256(kept).hexdigest()})
-    return pa.array(out, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+def digest(text: str, spans: str) -> Column:
+    """What is left of a text: (n_bytes, n_removed, n_spans, kept_sha256)."""
+
+    @F.arrow_udf("struct<n_bytes:long,n_removed:long,n_spans:long,kept_sha256:string>")
+    def run(texts: pa.Array, lost: pa.Array) -> pa.Array:
+        out = []
+        for t, s in zip(texts.cast(pa.binary()).to_pylist(), lost.to_pylist()):
+            kept = kept_bytes(t or b"", s)
+            out.append({"n_bytes": len(t or b""), "n_removed": len(t or b"") - len(kept), "n_spans": len(s or ()), "kept_sha256": hashlib.sha256(kept).hexdigest()})
+        return pa.array(out, pa.struct([("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
+
+    return run(text, spans)
 
 
 def with_spans(docs: DataFrame, length: int = LENGTH, **params) -> DataFrame:
@@ -406,4 +411,4 @@ def suffix_report(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row per document: its bytes, the bytes removed, the runs they form, and the SHA-256
     of what is left."""
     rows = with_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length)
-    return rows.select("doc_id", _digest("text", "__spans").alias("x")).select("doc_id", "x.*")
+    return rows.select("doc_id", digest("text", "__spans").alias("x")).select("doc_id", "x.*")
