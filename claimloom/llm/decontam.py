@@ -5,9 +5,9 @@ how many documents each occurs; a second one joins every text to the items by th
 ones among them, and aligns the words around each seed with the item. A passage whose
 alignment reaches `least` of the item's best possible score is a copy, edited or not.
 
-A seed is rare if it occurs in at most RARE of all documents, or is no more common than
-the median seed of its item. So an item that leaked into a third of the corpus keeps the
-seeds that show it. Before an alignment, the words that passage and item share bound its
+A seed is rare if it occurs in at most RARE of all documents, or in FEW, or is at most SPREAD
+times as common as the median of its item's seeds that occur at all. So an item that leaked
+into a third of the corpus, edited or not, keeps the seeds that show it. Before an alignment, the words that passage and item share bound its
 score from above; only passages that cannot reach `least` are passed over.
 
 The benchmark is sent to the executors in blocks of at most BLOCK words, each searched in
@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Words of a seed; least share of the best score; share of documents up to which a seed is rare.
-SEED, LEAST, RARE = 3, 0.5, 0.001
+#: Words of a seed; least share of the best score; share and number of documents up to which a
+#: seed is rare, and how much more common than its item's median it may be.
+SEED, LEAST, RARE, FEW, SPREAD = 3, 0.5, 0.001, 10, 4
 #: Alignment scores, words beside a seed's diagonal that an alignment may use, words of a block.
 MATCH, MISMATCH, GAP, SLACK, BLOCK = 2, -1, -1, 8, 1_000_000
 _WORD = re.compile(r"\w+")
@@ -127,8 +128,9 @@ class Index:
         firsts = np.searchsorted(self.owners[order], np.arange(len(self.items) + 1))
         for i in range(len(self.items)):
             own = by_entry[order[firsts[i] : firsts[i + 1]]]
+            own = own[own > 0]
             middle[i] = own[len(own) // 2] if len(own) else 0
-        kept = (by_entry <= rare * docs) | (by_entry <= middle[self.owners])
+        kept = by_entry <= np.maximum(max(FEW, rare * docs), SPREAD * middle[self.owners])
         self.codes, self.owners, self.places = self.codes[kept], self.owners[kept], self.places[kept]
         self.distinct, self.first = np.unique(self.codes, return_index=True)
         self.last = np.append(self.first[1:], len(self.codes))
