@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample, written
 
-#: Bound on the sample, trees, their depth, least rows of a node, borders tried, penalties tried.
+#: Bound on the sample, trees, their depth, least rows of a node (a fiftieth of few rows), borders and
+#: penalties tried.
 SAMPLE, TREES, DEPTH, LEAF, BORDERS = 20_000, 24, 3, 20, 24
 PENALTIES = (0.02, 0.01, 0.005, 0.002, 0.001)
 STATISTICS = (
@@ -68,13 +69,13 @@ def with_statistics(text: str) -> Column:
     return run(text)
 
 
-def _tree(x, borders, g, h, depth: int, path: tuple, rows, rules: set, out) -> None:
+def _tree(x, borders, g, h, depth: int, path: tuple, rows, rules: set, out, leaf: int) -> None:
     """Grow a node on gradients g and curvatures h; adds its path to rules, its value to out."""
     if path:
         rules.add(path)
     value = -g[rows].sum() / (h[rows].sum() + 1.0)
     best = (1e-6, None)
-    if depth and len(rows) >= 2 * LEAF:
+    if depth and len(rows) >= 2 * leaf:
         total_g, total_h = g[rows].sum(), h[rows].sum()
         base = total_g * total_g / (total_h + 1.0)
         for f in range(x.shape[1]):
@@ -84,7 +85,7 @@ def _tree(x, borders, g, h, depth: int, path: tuple, rows, rules: set, out) -> N
             size = len(borders[f]) + 1
             gs, hs, ns = (np.cumsum(np.bincount(bin_, w, size))[:-1] for w in (g[rows], h[rows], None))
             gain = gs**2 / (hs + 1.0) + (total_g - gs) ** 2 / (total_h - hs + 1.0) - base
-            gain[(ns < LEAF) | (len(rows) - ns < LEAF)] = 0
+            gain[(ns < leaf) | (len(rows) - ns < leaf)] = 0
             if gain.max() > best[0]:
                 best = (float(gain.max()), (f, float(borders[f][gain.argmax()])))
     if best[1] is None:
@@ -92,8 +93,8 @@ def _tree(x, borders, g, h, depth: int, path: tuple, rows, rules: set, out) -> N
         return
     f, border = best[1]
     left = x[rows, f] <= border
-    _tree(x, borders, g, h, depth - 1, (*path, (f, "<=", border)), rows[left], rules, out)
-    _tree(x, borders, g, h, depth - 1, (*path, (f, ">", border)), rows[~left], rules, out)
+    _tree(x, borders, g, h, depth - 1, (*path, (f, "<=", border)), rows[left], rules, out, leaf)
+    _tree(x, borders, g, h, depth - 1, (*path, (f, ">", border)), rows[~left], rules, out, leaf)
 
 
 def grow_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 1) -> list[tuple]:
@@ -107,7 +108,7 @@ def grow_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DE
         rows = np.sort(r.permutation(len(y))[: max(1, len(y) // 2)])
         step = np.zeros(len(y))
         kept: set = set()
-        _tree(x, borders, p - y, p * (1 - p) + 1e-6, depth, (), rows, kept, step)
+        _tree(x, borders, p - y, p * (1 - p) + 1e-6, depth, (), rows, kept, step, min(LEAF, max(2, len(y) // 50)))
         rules |= kept
         # rows outside the half follow the paths of the leaves
         other = np.setdiff1d(np.arange(len(y)), rows)
