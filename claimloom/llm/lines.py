@@ -34,8 +34,9 @@ from .suffix_dedup import _dealt, _mixed, _numbered, _prefixes
 
 #: Edits of a link; least characters of a line that can have one; characters worked on at once.
 EDITS, LEAST, BLOCK = 2, 20, 1 << 20
-#: Bytes of text that make up a part.
-PART_BYTES = 16_000_000
+#: Bytes of text that make up a part; characters that are cut into lines at once; cells of the
+#: matrices in which pairs are verified at once.
+PART_BYTES, CUT, CELLS = 16_000_000, 1 << 22, 1 << 20
 _LINE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("line", "<i4")])
 _KEY = np.dtype([("key", "<u8"), ("id", "<u8"), ("sig", "<u8")])
 _PAIR = np.dtype([("u", "<i8"), ("v", "<i8")])
@@ -94,10 +95,18 @@ def keys(lines: list[str], ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate([empty, *index]), np.concatenate([empty, *probe])
 
 
-def meet(index: np.ndarray, probe: np.ndarray, k: int, block: int = 1 << 21) -> np.ndarray:
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Rows by key and id, each once."""
+    rows = rows[np.lexsort((rows["id"], rows["key"]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["id"][1:] != rows["id"][:-1])
+    return rows[new]
+
+
+def meet(index: np.ndarray, probe: np.ndarray, k: int, block: int = 1 << 18) -> np.ndarray:
     """Pairs of different lines that share a key and pass the signature, each once."""
-    index = np.unique(index)
-    probe = np.unique(probe[np.isin(probe["key"], index["key"])])
+    index = _distinct(index)
+    probe = _distinct(probe[np.isin(probe["key"], index["key"])])
     low = np.searchsorted(index["key"], probe["key"], "left")
     many = np.searchsorted(index["key"], probe["key"], "right") - low
     out, sums, at = [np.empty(0, _PAIR)], np.cumsum(many), 0
@@ -106,10 +115,10 @@ def meet(index: np.ndarray, probe: np.ndarray, k: int, block: int = 1 << 21) ->
         n = many[at:to]
         own = np.repeat(np.arange(at, to), n)
         other = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + low[own]
-        u, v = probe["id"][own], index["id"][other]
-        ok = (u != v) & (np.bitwise_count(probe["sig"][own] ^ index["sig"][other]) <= 2 * k)
-        pairs = np.empty(int(ok.sum()), _PAIR)
-        u, v = u[ok].view(np.int64), v[ok].view(np.int64)
+        ok = np.bitwise_count(probe["sig"][own] ^ index["sig"][other]) <= 2 * k
+        u, v = probe["id"][own[ok]], index["id"][other[ok]]
+        u, v = u[u != v].view(np.int64), v[u != v].view(np.int64)
+        pairs = np.empty(len(u), _PAIR)
         pairs["u"], pairs["v"] = np.minimum(u, v), np.maximum(u, v)
         out.append(np.unique(pairs))
         at = to
@@ -187,25 +196,35 @@ def _folded(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _cut_lines(k: int, least: int, parts: int):
     """Kind 0: lines, one of equal ones; 1: lines that go; 2 and 3: index and probe rows."""
 
+    def cut(docs: list, texts: list):
+        rows, lines = [], []
+        for doc, text in zip(docs, texts):
+            for i, line in enumerate(text.split("\n") if text else ()):
+                if line and not line.isspace():
+                    h = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
+                    rows.append((h >> 64, h & 0xFFFFFFFFFFFFFFFF, doc, i))
+                    lines.append(line)
+        r = np.array(rows, _LINE)
+        _, one = np.unique(r[["a", "b"]], return_index=True) if len(r) else (None, [])
+        some = [i for i in one if len(lines[i]) >= least]
+        index, probe = keys([lines[i] for i in some], r["a"][some] if some else np.empty(0, np.uint64), k)
+        r, same = _folded(r)
+        out = _dealt(r[~same], (r["a"][~same] % np.uint64(parts)).astype(np.int64), 0) + _dealt(r[same], (r["a"][same] % np.uint64(parts)).astype(np.int64), 1)
+        for kind, x in ((2, index), (3, probe)):
+            out += _dealt(x, (x["key"] % np.uint64(parts)).astype(np.int64), kind)
+        return out
+
     def run(batches):
         for batch in batches:
-            docs, texts, rows = batch.column("doc").to_pylist(), [], []
-            for doc, text in zip(docs, batch.column("text").to_pylist()):
-                for i, line in enumerate(text.split("\n") if text else ()):
-                    if line and not line.isspace():
-                        h = xxhash.xxh3_128_intdigest(line.encode("utf-8", "surrogatepass"))
-                        rows.append((h >> 64, h & 0xFFFFFFFFFFFFFFFF, doc, i))
-                        texts.append(line)
-            r = np.array(rows, _LINE)
-            _, one = np.unique(r[["a", "b"]], return_index=True) if len(r) else (None, [])
-            some = [i for i in one if len(texts[i]) >= least]
-            index, probe = keys([texts[i] for i in some], r["a"][some] if some else np.empty(0, np.uint64), k)
-            r, same = _folded(r)
-            out = _dealt(r[~same], (r["a"][~same] % np.uint64(parts)).astype(np.int64), 0) + _dealt(r[same], (r["a"][same] % np.uint64(parts)).astype(np.int64), 1)
-            for kind, x in ((2, index), (3, probe)):
-                out += _dealt(x, (x["key"] % np.uint64(parts)).astype(np.int64), kind)
-            if out:
-                yield _batch(out)
+            size = np.cumsum(batch.column("bytes").to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CUT, "right")))
+                part = batch.slice(at, to - at)
+                out = cut(part.column("doc").to_pylist(), part.column("text").to_pylist())
+                if out:
+                    yield _batch(out)
+                at = to
 
     return run
 
@@ -255,7 +274,8 @@ def line_classes(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> tuple[D
     rows = docs.select(F.col("__doc").alias("doc"), "text").filter("text is not null")
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), total // PART_BYTES + 1)
-    cut = rows.mapInArrow(_cut_lines(k, least, parts), _PACKED)
+    sized = rows.withColumn("bytes", F.octet_length("text").cast("long"))
+    cut = sized.mapInArrow(_cut_lines(k, least, parts), _PACKED)
     marks = written(cut.repartition(parts, "part").mapInArrow(_join_part(k), _PACKED), "lines-marks")
     firsts = _rows(marks, 0, _LINE, {"a": "long", "b": "long", "doc": "long", "line": "int"})
     gone = _rows(marks, 1, _LINE, {"doc": "long", "line": "int"})
@@ -267,10 +287,11 @@ def line_classes(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> tuple[D
     @F.arrow_udf("boolean")
     def near(x: pa.Array, y: pa.Array) -> pa.Array:
         a, b, out = x.to_pylist(), y.to_pylist(), np.zeros(len(x), bool)
-        order = sorted(range(len(a)), key=lambda i: len(a[i]))
-        for i in range(0, len(order), 4096):
-            part = order[i : i + 4096]
+        order, i = sorted(range(len(a)), key=lambda i: len(a[i]), reverse=True), 0
+        while i < len(order):
+            part = order[i : i + max(1, CELLS // (len(a[order[i]]) + k + 1))]
             out[part] = within([a[j] for j in part], [b[j] for j in part], k)
+            i += len(part)
         return pa.array(out)
 
     left = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("x")), "u")
