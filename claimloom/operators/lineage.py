@@ -29,14 +29,19 @@ def _delete(spark, path: str) -> None:
         pass
 
 
+def scratch(spark, name: str) -> str:
+    """A new path in the shared folder, deleted when the program ends."""
+    path = f"{_folder(spark)}/claimloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read back, so that later steps neither repeat
     nor lose it."""
-    spark = df.sparkSession
-    path = f"{_folder(spark)}/claimloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, n: int) -> bool:

@@ -259,3 +259,20 @@ def hover_clusters(points: DataFrame, labels: DataFrame, steps: int = 10) -> Dat
         ((F.col("cx") - head[1]) / sx).alias("x_norm"), (1.0 - (F.col("cy") - head[3]) / sy).alias("y_norm"),
         F.least(F.lit(0.22), F.greatest(F.lit(0.055), F.greatest(F.col("r") / max(sx, sy), F.lit(0.05)) * 1.35)).alias("radius_norm"),
     ).orderBy(F.desc("point_count"), "label")
+
+
+def vector_column(df: DataFrame, names: tuple = ("emb_refined", "emb", "embedding", "h")) -> str:
+    """The first of the names that df has, else its only column of numbers' arrays."""
+    for n in names:
+        if n in df.columns:
+            return n
+    arrays = [n for n, t in df.dtypes if t in ("array<float>", "array<double>")]
+    if len(arrays) != 1:
+        raise ValueError(f"no column of vectors among {df.columns}")
+    return arrays[0]
+
+
+def export_points(points: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, xy, label, domain): a layout with each node's clean name and its own domain."""
+    named = nodes.select("id", X.clean_label("value").alias("label"))
+    return points.join(named, "id").join(labels.select("id", F.col("label").alias("domain")), "id", "left")

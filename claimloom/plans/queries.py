@@ -17,10 +17,10 @@ from ..operators import reports as R
 from ..operators import scoring as S
 from ..operators import statements as T
 from ..operators import topics as P
-from ..operators.lineage import cut
-from ..sources import fixtures, readers
+from ..operators.lineage import cut, scratch
+from ..sources import fixtures, readers, writers
 from ..sources.fixtures import TRIPLES_SQL, table
-from ..streaming.slices import merge_support
+from ..streaming.slices import latest_support, merge_slices, merge_support, triple_stream
 from . import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,6 +130,33 @@ def s3_root_topics(spark, d):
     return readers.root_topic_rows(rows.select(F.concat(F.lit(" "), "topic", F.lit("\t")).alias("topic")).unionByName(noise)).select("topic")
 
 
+@query("select doc_id, substr(text, 1, 12000) as text from documents")
+def s2_first_characters(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 12000).alias("text"))
+
+
+@query(f"with {TRIPLES_SQL} select topic, path, question from triples where seq % 3 = 0 union all select topic, path, 'why ' || subj from triples where seq % 3 = 0")
+def s5_question_file(spark, d):
+    t = _triples(spark, d).filter("seq % 3 = 0")
+    folder = scratch(spark, "questions")
+    writers.json_lines(t.select("topic", "path", F.array("question", F.concat(F.lit("why "), "subj")).alias("questions")), folder)
+    return readers.questions(spark, folder).select("topic", "path", "question")
+
+
+@query(f"with {TRIPLES_SQL} select topic, question, 0 as pos, statement from triples union all select topic, question, 1, 'and ' || subj from triples")
+def s6_statement_file(spark, d):
+    folder = scratch(spark, "statements")
+    writers.json_lines(_triples(spark, d).select("topic", "path", "question", F.array("statement", F.concat(F.lit("and "), "subj")).alias("statements")), folder)
+    return readers.statements(spark, folder).select("topic", "question", "pos", "statement")
+
+
+@query("select p_name as file, round(p_retailprice, 2) as score from part")
+def s9_score_file(spark, d):
+    folder = scratch(spark, "scores")
+    writers.report_table(table(spark, d, "part").select(F.col("p_name").alias("file"), F.col("p_retailprice").alias("score")), folder)
+    return readers.table(spark, folder, "score double", ["file", "score"]).withColumn("score", F.round("score", 2))
+
+
 @query(f"with {TRIPLES_SQL} select seq, subj, obj, rel from triples where seq % 7 <> 0")
 def s7_triple_aliases(spark, d):
     t = _triples(spark, d)
@@ -650,3 +677,18 @@ def g6_topic_expansion(spark, d):
 def l1_phase_one(spark, d):
     roots = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("seq"), F.lower("r_name").alias("topic"))
     return pipeline.phase_one(roots, L.StubClient, GUIDE, 2, 40)["triples"]
+
+
+@query(f"with {TRIPLES_SQL} select subj, obj, rel, count(*) as support from triples group by 1, 2, 3")
+def t1_streamed_triples(spark, d):
+    folder = scratch(spark, "stream")
+    _triples(spark, d).drop("seq").repartition(3, "subj").write.json(f"{folder}/in")
+    merge_slices(triple_stream(spark, f"{folder}/in", 1), f"{folder}/out", f"{folder}/check").awaitTermination()
+    return latest_support(spark, f"{folder}/out").select("subj", "obj", "rel", "support")
+
+
+@query(f"with {TRIPLES_SQL}, {_STATE}, labels as (select value, min(did) as did from (select subj as value, ds.id as did from triples join ds on ds.value = domain union all select obj, ds.id from triples join ds on ds.value = domain) group by 1) select ids.id, trim(ids.value) as label, dd.value as domain from ids join labels using (value) join ds dd on dd.id = did")
+def j12_exported_points(spark, d):
+    s = M.relational_state(_triples(spark, d))
+    points = s["nodes"].select("id", F.array(F.lit(0.0), F.lit(0.0)).alias("xy"))
+    return M.export_points(points, s["nodes"], M.node_labels(s["nodes"], s["edges"], s["dom"], "dom_id")).select("id", "label", "domain")

@@ -167,3 +167,15 @@ def runs_left(docs: DataFrame, manifest: DataFrame, force: bool = False) -> Data
 def shard(df: DataFrame, n: int, k: int) -> DataFrame:
     """Rows of the k-th of n parts by seq."""
     return df.filter(F.col("seq") % n == k)
+
+
+def state(spark: SparkSession, path: str, triples: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables of a stored relational state; made from triples where there is none."""
+    from ..operators.manifold import relational_state
+
+    try:
+        return {n: spark.read.parquet(f"{path}/{n}") for n in ("nodes", "rel", "dom", "edges")}
+    except Exception:  # nothing stored under path
+        if triples is None:
+            raise
+        return relational_state(triples)
