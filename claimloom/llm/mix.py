@@ -27,7 +27,7 @@ from .common import n_words, written
 WEIGHTS = (3.0, 1.0, 2.0)
 BUDGET = 1.5
 MAX_EPOCHS = 2
-ROWS_PER_BUCKET = 50_000
+ROWS_PER_BUCKET = 5_000
 #: Ranges of finish time; the one that holds the cut is divided again, as often as needed.
 RANGES = 4096
 
