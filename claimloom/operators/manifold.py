@@ -64,8 +64,8 @@ def activation(c) -> Column:
 
 def scaled(df: DataFrame, column: str) -> DataFrame:
     """df with column between 0 and 1; a range under 1e-6 counts as that."""
-    ends = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    return df.crossJoin(F.broadcast(ends)).withColumn(column, (F.col(column) - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-6))).drop("_lo", "_hi")
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    return df if low is None else df.withColumn(column, (F.col(column) - float(low)) / max(float(high) - float(low), 1e-6))
 
 
 def _normed(x: np.ndarray) -> np.ndarray:

@@ -64,9 +64,9 @@ def top_models(scores: DataFrame, k: int = V.TOP_MODELS, min_edges: int = 0, one
 
 def softmax(df: DataFrame, score: str = "score", alpha: float = V.ALPHA) -> DataFrame:
     """df with weight: the softmax of the score over all rows. df is a few models."""
-    best = df.agg(F.max(score).alias("m"))
-    e = df.crossJoin(F.broadcast(best)).withColumn("e", F.exp(F.lit(alpha) * (F.col(score) - F.col("m")))).drop("m")
-    return e.crossJoin(F.broadcast(e.agg(F.sum("e").alias("z")))).withColumn("weight", F.col("e") / F.col("z")).drop("e", "z")
+    everything = Window.partitionBy(F.lit(0))
+    e = df.withColumn("e", F.exp(F.lit(alpha) * (F.col(score) - F.max(score).over(everything))))
+    return e.withColumn("weight", F.col("e") / F.sum("e").over(everything)).drop("e")
 
 
 def landscape(scores: DataFrame, how: str = "mean") -> DataFrame:
