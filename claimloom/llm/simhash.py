@@ -101,17 +101,18 @@ def near_links(prints: DataFrame, k: int = DISTANCE) -> DataFrame:
     return joined.filter(F.bit_count(differ) <= k).select("u", "v").distinct()
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, k: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of docs. component_id is the smallest doc_id
-    that the row reaches over links."""
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), simhash("text", n).alias("fp")), "simhash")
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, k: int = DISTANCE, row: Column | None = None) -> DataFrame:
+    """(doc_id, row, fp, component_id) of every row of docs. component_id is the smallest doc_id
+    that the row reaches over links; row is what is asked for, or null."""
+    row = F.lit(None).cast("long") if row is None else row
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), simhash("text", n).alias("fp")), "simhash")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
     roots = components(near_links(prints.select("fp"), k))
     linked = prints.join(roots, F.col("fp") == F.col("node")).select("fp", "least", "root")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "root").select(F.col("fp").alias("f2"), F.col("component_id").alias("c2"))
     names = prints.join(named, F.col("fp") == F.col("f2"), "left").select("fp", F.coalesce("c2", "least").alias("component_id"))
-    return rows.join(written(names, "simhash-names"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(written(names, "simhash-names"), "fp").select("doc_id", "row", "fp", "component_id")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
@@ -121,9 +122,13 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 def first_of_each(docs: DataFrame, n: int = SHINGLE, k: int = DISTANCE) -> DataFrame:
     """docs with one row of each component: that of its smallest doc_id, and of several with
-    it the one with the smallest hash."""
-    rows = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    found = near_duplicates(rows, n, k).select(F.col("doc_id").alias("__d"), F.col("component_id").alias("__c")).distinct()
-    keep = found.filter(F.col("__d").eqNullSafe(F.col("__c"))).select("__d").distinct()
-    kept = rows.join(keep, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).drop("__row") if docs.columns else kept
+    it the one with the smallest hash of its columns."""
+    row = F.xxhash64(*docs.columns)
+    found = near_duplicates(docs, n, k, row)
+    # a null doc_id counts as the largest, and only where no other is there
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    group = F.when(F.col("component_id").isNull(), F.col("fp")).otherwise(F.lit(0))
+    keep = found.groupBy("component_id", group).agg(first).select(F.col("first.row").alias("__keep")).distinct()
+    rows = docs.withColumn("__row", row)
+    # the join and the last step are dealt by the same key, so texts are shuffled once
+    return rows.join(keep, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
