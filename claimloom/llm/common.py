@@ -82,4 +82,4 @@ def hash_sample(rows: DataFrame, n: int, key: list, seed: int) -> DataFrame:
     total = rows.count()
     if total > 4 * n:
         rows = rows.filter(F.pmod(spread, F.lit(1 << 30)) < int((1 << 30) * 2 * n / total))
-    return rows.orderBy(F.pmod(spread, F.lit(1 << 30)), *key).limit(n)
+    return rows.orderBy(F.pmod(spread, F.lit(1 << 30)), *rows.columns).limit(n)
