@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Separators of words: space and the ASCII controls tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Most texts that an Arrow batch brings to a Python worker at once.
+BATCH_TEXTS = 1000
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -55,6 +58,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches of this session to BATCH_TEXTS rows, as Spark's default of 10,000 long
+    texts takes most of a worker's memory. A lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_TEXTS:
+        spark.conf.set(key, str(BATCH_TEXTS))
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by written() that no later step reads."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

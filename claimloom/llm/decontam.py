@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 #: Words of a seed; least share of the best score; share and number of documents up to which a
 #: seed is rare, and how much more common than its item's median it may be.
@@ -181,6 +183,7 @@ def _blocks(items: DataFrame, size: int):
 def indexes(docs: DataFrame, benchmark: DataFrame, n: int = SEED, rare: float = RARE, block: int = BLOCK) -> list:
     """An index of each block of the benchmark, with rare seeds only. Tasks get them with their
     code, which Spark broadcasts if it is large."""
+    small_batches(docs.sparkSession)
     total, out = docs.count(), []
     for items in _blocks(benchmark, block):
         index = Index(items, n)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample
+from .common import hash_sample, small_batches
 
 #: Bound on the sample of labelled rows, the bytes taken of each, and the network's sizes.
 SAMPLE, WINDOW, HIDDEN, STEPS, BATCH, RATE = 3000, 128, 8, 160, 192, 0.03
@@ -208,6 +208,7 @@ def predict(texts: list[str | None], model: dict) -> list[tuple[str, float]]:
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", order: str = "doc_id", sample: int = SAMPLE) -> dict:
     """Train on `sample` rows of those that `learn` allows, the first by a hash of `order`.
     Of each, a window of bytes that its hash places takes part."""
+    small_batches(docs.sparkSession)
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
     place = F.pmod(F.xxhash64(order, F.lit(12)), F.greatest(F.length(text) - WINDOW, F.lit(1))).cast("int") + 1
     picked = rows.select(F.col(order).alias("o"), F.substring(text, place, F.lit(WINDOW)).alias("t"), F.col(lang).alias("l"))

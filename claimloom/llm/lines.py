@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, shuffle_partitions, written
+from .common import shuffle_partitions, small_batches, written
 from .components import components
 from .suffix_dedup import _dealt, _mixed, _numbered, _prefixes
 
@@ -271,6 +271,7 @@ def line_classes(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> tuple[D
     if not 1 <= k <= 15 or least < k + 1:
         raise ValueError("k must be from 1 to 15, and least above it")
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("__doc").alias("doc"), "text").filter("text is not null")
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), total // PART_BYTES + 1)

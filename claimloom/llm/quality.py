@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, written
+from .common import hash_sample, small_batches, written
 
 #: Bound on the sample, trees, their depth, least rows of a node (a fiftieth of few rows), borders and
 #: penalties tried.
@@ -195,6 +195,7 @@ def learned(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted. Learned without fold 1 of 3."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), with_statistics("text").alias("s"))
     rows = written(rows, "quality")
     model = learned(rows, labels)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .components import components
 
 #: Words of a shingle, differing bits of a link, and the hash seed.
@@ -104,6 +104,7 @@ def near_links(prints: DataFrame, k: int = DISTANCE) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = SHINGLE, k: int = DISTANCE, row: Column | None = None) -> DataFrame:
     """(doc_id, row, fp, component_id) of every row of docs. component_id is the smallest doc_id
     that the row reaches over links; row is what is asked for, or null."""
+    small_batches(docs.sparkSession)
     row = F.lit(None).cast("long") if row is None else row
     rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), simhash("text", n).alias("fp")), "simhash")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, shuffle_partitions, written
+from .common import drop_written, shuffle_partitions, small_batches, written
 
 LENGTH, GRAM, HOT = 100, 32, 100_000
 #: Bytes of text, and runs, that make up a part; bytes of a text that are cut into runs at once.
@@ -359,6 +359,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     start * 2^32 + end. docs has __doc, which tells rows apart, and text."""
     if not 1 <= gram < length or length - gram > 126:
         raise ValueError("gram must be below length, by 126 at most")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("__doc").alias("doc"), "text").filter(F.octet_length("text") >= length)
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(shuffle_partitions(docs.sparkSession), total // PART_BYTES + 1)
