@@ -36,7 +36,7 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = t("part").select("p_partkey", F.lower(F.concat("p_name", F.lit(" "), "p_brand")).alias("label"))
     a, b = part.select(F.col("p_partkey").alias("p1"), F.col("label").alias("subj")), part.select(F.col("p_partkey").alias("p2"), F.col("label").alias("obj"))
     place = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.lower("n_name").alias("topic"), F.lower("r_name").alias("domain"))
-    home = t("customer").join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "topic", "domain")
+    home = t("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "topic", "domain")
     rows = t("orders").select("o_orderkey", "o_custkey").join(ends, F.col("o_orderkey") == F.col("l_orderkey")).join(a, "p1").join(b, "p2").join(home, F.col("o_custkey") == F.col("c_custkey"))
     pick = (F.col("o_orderkey") % 10 + 1).cast("int")
     rel = F.element_at(F.array(*[F.lit(r) for r, _ in V.RELATIONS]), pick)

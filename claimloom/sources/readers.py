@@ -35,7 +35,7 @@ def numbered(df: DataFrame) -> DataFrame:
     starts = counts.select("f", "b", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("start"), "m0")
     own = F.row_number().over(Window.partitionBy(*block).orderBy("_at.m")) - 1
     rows = df.withColumn("_own", own)
-    out = rows.join(F.broadcast(starts), (F.col("_at.f") == F.col("f")) & (F.col("_at.b") == F.col("b")))
+    out = rows.join(starts, (F.col("_at.f") == F.col("f")) & (F.col("_at.b") == F.col("b")))
     return out.withColumn("seq", (F.col("start") + F.col("_own")).cast("long")).drop("_at", "_own", "f", "b", "start", "m0")
 
 
