@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -66,6 +67,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_TEXTS))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now. It does so when the driver's JVM
+    collects the plans, which an idle driver may not do while the executors' disks fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete a table made by written() that no later step reads."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

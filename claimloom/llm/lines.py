@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, small_batches, written
+from .common import release, shuffle_partitions, small_batches, written
 from .components import components
 from .suffix_dedup import _dealt, _mixed, _numbered, _prefixes
 
@@ -278,11 +278,13 @@ def line_classes(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> tuple[D
     sized = rows.withColumn("bytes", F.octet_length("text").cast("long"))
     cut = sized.mapInArrow(_cut_lines(k, least, parts), _PACKED)
     marks = written(cut.repartition(parts, "part").mapInArrow(_join_part(k), _PACKED), "lines-marks")
+    release(spark)
     firsts = _rows(marks, 0, _LINE, {"a": "long", "b": "long", "doc": "long", "line": "int"})
     gone = _rows(marks, 1, _LINE, {"doc": "long", "line": "int"})
     pairs = written(_rows(marks, 4, _PAIR, {"u": "long", "v": "long"}).distinct(), "lines-pairs")
     asked = pairs.select(F.explode(F.array("u", "v")).alias("a")).distinct()
     want = firsts.join(asked, "a").groupBy("doc").agg(F.collect_list(F.struct(F.col("a").alias("id"), "line")).alias("want"))
+    want = written(want, "lines-want")  # of known size, so Spark sends it to the texts if it is small
     texts = written(rows.join(want, "doc").select("text", "want").mapInArrow(_some_lines, "id long, line string"), "lines-texts")
 
     @F.arrow_udf("boolean")
