@@ -56,9 +56,22 @@ def test_links_against_all_pairs(spark, k):
             prints.add(y)
     signed = [p - 2**64 if p >> 63 else p for p in sorted(prints)]
     df = spark.createDataFrame([(p,) for p in signed], "fp long")
-    want = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= k}
+    want = {frozenset((a, b)) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= k}
     got = simhash.near_links(df, k).collect()
-    assert len(got) == len(want) and {(r["u"], r["v"]) for r in got} == want
+    assert len(got) == len(want) and {frozenset((r["u"], r["v"])) for r in got} == want
+    full = {r["node"]: r["root"] for r in components(simhash.near_links(df, k)).collect()}
+    stars = simhash.near_links(df, k, True)
+    assert {r["node"]: r["root"] for r in components(stars).collect()} == full
+
+
+def test_a_close_group_gives_few_rows(spark):
+    import itertools
+
+    prints = {sum(1 << b for b in bits) for n in range(4) for bits in itertools.combinations(range(0, 48, 3), n)}
+    df = spark.createDataFrame([(p,) for p in prints], "fp long").repartition(2)
+    stars = simhash.near_links(df, 4, True)
+    assert stars.count() < 16 * len(prints) < len(prints) ** 2 / 8
+    assert components(stars).select("root").distinct().count() == 1 and components(stars).count() == len(prints)
 
 
 def test_components_of_paths_and_stars(spark):
