@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import release, shuffle_partitions, small_batches, written
 from .components import components
-from .suffix_dedup import _dealt, _mixed, _numbered, _prefixes
+from .packing import PACKED, mixed, packed, packed_batch, unpacked
+from .suffix_dedup import _numbered, _prefixes
 
 #: Edits of a link; least characters of a line that can have one; characters worked on at once.
 EDITS, LEAST, BLOCK = 2, 20, 1 << 20
@@ -79,7 +80,7 @@ def keys(lines: list[str], ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
 
         def put(out, start, n, tag):
             row = np.empty(len(size), _KEY)
-            row["key"] = _mixed((p[start + n] - p[start]) * q[start] + tag)
+            row["key"] = mixed((p[start + n] - p[start]) * q[start] + tag)
             row["id"], row["sig"] = ids[a:b], sig
             out.append(row)
 
@@ -170,21 +171,6 @@ def within(a: list[str], b: list[str], k: int) -> np.ndarray:
     return out
 
 
-def _read(batches, kinds: dict) -> dict:
-    found: dict[int, list] = {k: [] for k in kinds}
-    for b in batches:
-        for k, x in zip(b.column("kind").to_pylist(), b.column("packed").to_pylist()):
-            found[k].append(np.frombuffer(x, kinds[k]))
-    return {k: np.concatenate([np.empty(0, kinds[k]), *v]) for k, v in found.items()}
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["part", "kind", "packed"])
-
-
-_PACKED = "part long, kind int, packed binary"
-
-
 def _folded(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lines by hash and place; which have an equal one before."""
     r = r[np.lexsort((r["line"], r["doc"], r["b"], r["a"]))]
@@ -209,9 +195,9 @@ def _cut_lines(k: int, least: int, parts: int):
         some = [i for i in one if len(lines[i]) >= least]
         index, probe = keys([lines[i] for i in some], r["a"][some] if some else np.empty(0, np.uint64), k)
         r, same = _folded(r)
-        out = _dealt(r[~same], (r["a"][~same] % np.uint64(parts)).astype(np.int64), 0) + _dealt(r[same], (r["a"][same] % np.uint64(parts)).astype(np.int64), 1)
+        out = packed(r[~same], (r["a"][~same] % np.uint64(parts)).astype(np.int64), 0) + packed(r[same], (r["a"][same] % np.uint64(parts)).astype(np.int64), 1)
         for kind, x in ((2, index), (3, probe)):
-            out += _dealt(x, (x["key"] % np.uint64(parts)).astype(np.int64), kind)
+            out += packed(x, (x["key"] % np.uint64(parts)).astype(np.int64), kind)
         return out
 
     def run(batches):
@@ -223,7 +209,7 @@ def _cut_lines(k: int, least: int, parts: int):
                 part = batch.slice(at, to - at)
                 out = cut(part.column("doc").to_pylist(), part.column("text").to_pylist())
                 if out:
-                    yield _batch(out)
+                    yield packed_batch(out)
                 at = to
 
     return run
@@ -233,12 +219,12 @@ def _join_part(k: int):
     """Kind 0: first lines; 1: lines that go; 4: pairs to verify."""
 
     def run(batches):
-        got = _read(batches, {0: _LINE, 1: _LINE, 2: _KEY, 3: _KEY})
+        got = unpacked(batches, {0: _LINE, 1: _LINE, 2: _KEY, 3: _KEY})
         r, same = _folded(got[0])
         pairs = meet(got[2], got[3], k)
         out = [(0, kind, x.tobytes()) for kind, x in ((0, r[~same]), (1, np.concatenate([got[1], r[same]])), (4, pairs)) if len(x)]
         if out:
-            yield _batch(out)
+            yield packed_batch(out)
 
     return run
 
@@ -276,8 +262,8 @@ def line_classes(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> tuple[D
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(shuffle_partitions(spark), total // PART_BYTES + 1)
     sized = rows.withColumn("bytes", F.octet_length("text").cast("long"))
-    cut = sized.mapInArrow(_cut_lines(k, least, parts), _PACKED)
-    marks = written(cut.repartition(parts, "part").mapInArrow(_join_part(k), _PACKED), "lines-marks")
+    cut = sized.mapInArrow(_cut_lines(k, least, parts), PACKED)
+    marks = written(cut.repartition(parts, "part").mapInArrow(_join_part(k), PACKED), "lines-marks")
     release(spark)
     firsts = _rows(marks, 0, _LINE, {"a": "long", "b": "long", "doc": "long", "line": "int"})
     gone = _rows(marks, 1, _LINE, {"doc": "long", "line": "int"})

@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_written, shuffle_partitions, small_batches, written
+from .packing import PACKED, mixed, packed, packed_batch, unpacked
 
 LENGTH, GRAM, HOT = 100, 32, 100_000
 #: Bytes of text, and runs, that make up a part; bytes of a text that are cut into runs at once.
@@ -60,12 +61,6 @@ def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:
     return cache["p"][:n], cache["q"][:n]
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
 def _prefixes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums whose differences, shifted, are hashes of the bytes between; and the shifts."""
     p, q = _powers(len(data) + 1)
@@ -82,7 +77,7 @@ def runs(text: bytes, doc: int, length: int = LENGTH, gram: int = GRAM) -> np.nd
         if len(data) < length:
             continue
         sums, q = _prefixes(data)
-        h = _mixed((sums[gram:] - sums[:-gram]) * q[: len(data) - gram + 1])
+        h = mixed((sums[gram:] - sums[:-gram]) * q[: len(data) - gram + 1])
         low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
         width, size = length - gram + 1, 1
         while size * 2 <= width:
@@ -97,7 +92,7 @@ def runs(text: bytes, doc: int, length: int = LENGTH, gram: int = GRAM) -> np.nd
         got["anchor"], got["doc"], got["start"] = h[place[first]], doc, first + at
         got["lead"], got["count"] = place[first] - first, count
         whole = (sums[first + count + length - 1] - sums[first]) * q[first]
-        got["whole"] = _mixed(whole + got["lead"].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + got["count"].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        got["whole"] = mixed(whole + got["lead"].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + got["count"].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         out.append(got)
     return np.concatenate(out) if out else np.empty(0, _RUN)
 
@@ -135,32 +130,8 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return out
 
 
-def _dealt(rows: np.ndarray, part: np.ndarray, kind: int, extra=None) -> list[tuple]:
-    """(part, kind, packed rows) of each part."""
-    order = np.argsort(part, kind="stable")
-    rows, part = rows[order], part[order]
-    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-    return [(int(part[a]), kind, rows[a:b].tobytes()) for a, b in zip(cuts, np.append(cuts[1:], len(part)))]
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    part, kind, packed = ([r[i] for r in rows] for i in range(3))
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(kind, pa.int32()), pa.array(packed, pa.binary())], ["part", "kind", "packed"])
-
-
-_PACKED = "part long, kind int, packed binary"
-
-
-def _unpacked(batches, kinds: dict[int, np.dtype]) -> dict[int, np.ndarray]:
-    found: dict[int, list] = {k: [] for k in kinds}
-    for b in batches:
-        for k, x in zip(b.column("kind").to_pylist(), b.column("packed").to_pylist()):
-            found[k].append(np.frombuffer(x, kinds[k]))
-    return {k: np.concatenate(v) if v else np.empty(0, kinds[k]) for k, v in found.items()}
-
-
 def _doc_part(doc: np.ndarray, parts: int) -> np.ndarray:
-    return (_mixed(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    return (mixed(doc.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
 
 def _previous(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
@@ -251,10 +222,10 @@ def _cut_runs(length: int, gram: int, parts: int):
             many[order[1:][twin]] = many[order[:-1][twin]] = True
             some, same = _folded(r[many])
             spans, r = _spans(some[same], length), np.concatenate([r[~many], some[~same]])
-            out = _dealt(r, (r["anchor"] % np.uint64(parts)).astype(np.int64), 0)
-            out += _dealt(spans, _doc_part(spans["doc"], parts), 1)
+            out = packed(r, (r["anchor"] % np.uint64(parts)).astype(np.int64), 0)
+            out += packed(spans, _doc_part(spans["doc"], parts), 1)
             if out:
-                yield _batch(out)
+                yield packed_batch(out)
 
     return run
 
@@ -263,7 +234,7 @@ def _fold_runs(length: int, hot: int, parts: int):
     """Spans (kind 1) of runs with an equal one before; runs (kind 2) whose anchor has others."""
 
     def run(batches):
-        got = _unpacked(batches, {0: _RUN, 1: _SPAN})
+        got = unpacked(batches, {0: _RUN, 1: _SPAN})
         r, same = _folded(got[0])
         spans = merged(np.concatenate([got[1], _spans(r[same], length)]))
         r = r[~same]
@@ -274,22 +245,22 @@ def _fold_runs(length: int, hot: int, parts: int):
             edges["count"] += (often[often > 1] > hot).astype(np.uint8) * 128
         else:
             edges = r
-        out = _dealt(spans, _doc_part(spans["doc"], parts), 1) + _dealt(edges, _doc_part(edges["doc"], parts), 2)
+        out = packed(spans, _doc_part(spans["doc"], parts), 1) + packed(edges, _doc_part(edges["doc"], parts), 2)
         if out:
-            yield _batch(out)
+            yield packed_batch(out)
 
     return run
 
 
 def _by_doc(batches):
     """Runs of each document as packed numbers: start, lead, and count."""
-    r = _unpacked(batches, {2: _RUN})[2]
+    r = unpacked(batches, {2: _RUN})[2]
     r = r[np.lexsort((r["start"], r["doc"]))]
     if len(r):
         docs, first = np.unique(r["doc"], return_index=True)
-        packed = (r["start"].astype(np.int64) << 16) | (r["lead"].astype(np.int64) << 8) | r["count"]
+        numbers = (r["start"].astype(np.int64) << 16) | (r["lead"].astype(np.int64) << 8) | r["count"]
         offsets = pa.array(np.append(first, len(r)), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.ListArray.from_arrays(offsets, pa.array(packed))], ["doc", "runs"])
+        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.ListArray.from_arrays(offsets, pa.array(numbers))], ["doc", "runs"])
 
 
 def _bring_bytes(length: int, gram: int, parts: int):
@@ -299,8 +270,8 @@ def _bring_bytes(length: int, gram: int, parts: int):
         for b in batches:
             bins: dict[int, tuple[list, list]] = {}
             texts = b.column("text").cast(pa.binary()).to_pylist()
-            for doc, text, packed in zip(b.column("doc").to_pylist(), texts, b.column("runs").to_pylist()):
-                for x in packed:
+            for doc, text, numbers in zip(b.column("doc").to_pylist(), texts, b.column("runs").to_pylist()):
+                for x in numbers:
                     start, lead, count = x >> 16, (x >> 8) & 255, x & 255
                     if count & 128:
                         todo = [(s, 1, text[s : s + length]) for s in range(start, start + (count & 127))]
@@ -327,17 +298,17 @@ def _sort_windows(length: int, parts: int):
             data += b.column("bytes").to_pylist()
         spans = repeated(np.frombuffer(b"".join(edges), _EDGE), np.frombuffer(b"".join(data), np.uint8), length)
         if len(spans):
-            yield _batch(_dealt(spans, _doc_part(spans["doc"], parts), 1))
+            yield packed_batch(packed(spans, _doc_part(spans["doc"], parts), 1))
 
     return run
 
 
 def _merge_docs(batches):
-    s = merged(_unpacked(batches, {1: _SPAN})[1])
+    s = merged(unpacked(batches, {1: _SPAN})[1])
     if len(s):
         docs, first = np.unique(s["doc"], return_index=True)
-        packed = (s["start"].astype(np.int64) << 32) | s["end"]
-        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.ListArray.from_arrays(pa.array(np.append(first, len(s)), pa.int32()), pa.array(packed))], ["doc", "spans"])
+        numbers = (s["start"].astype(np.int64) << 32) | s["end"]
+        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.ListArray.from_arrays(pa.array(np.append(first, len(s)), pa.int32()), pa.array(numbers))], ["doc", "spans"])
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
@@ -363,14 +334,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     rows = docs.select(F.col("__doc").alias("doc"), "text").filter(F.octet_length("text") >= length)
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(shuffle_partitions(docs.sparkSession), total // PART_BYTES + 1)
-    cut = rows.mapInArrow(_cut_runs(length, gram, parts), _PACKED)
-    marks = written(cut.repartition(parts, "part").mapInArrow(_fold_runs(length, hot, parts), _PACKED), "lpf-marks")
+    cut = rows.mapInArrow(_cut_runs(length, gram, parts), PACKED)
+    marks = written(cut.repartition(parts, "part").mapInArrow(_fold_runs(length, hot, parts), PACKED), "lpf-marks")
     left = marks.filter("kind = 2")
     n = left.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
     edge_parts = max(shuffle_partitions(docs.sparkSession), n // _RUN.itemsize // PART_RUNS + 1)
     by_doc = left.repartition(parts, "part").mapInArrow(_by_doc, "doc long, runs array<long>")
     brought = rows.join(by_doc, "doc").mapInArrow(_bring_bytes(length, gram, edge_parts), "part long, packed binary, bytes binary")
-    found = written(brought.repartition(edge_parts, "part").mapInArrow(_sort_windows(length, parts), _PACKED), "lpf-found")
+    found = written(brought.repartition(edge_parts, "part").mapInArrow(_sort_windows(length, parts), PACKED), "lpf-found")
     spans = marks.filter("kind = 1").unionByName(found)
     out = written(spans.repartition(parts, "part").mapInArrow(_merge_docs, "doc long, spans array<long>"), "lpf-spans")
     drop_written(marks)
