@@ -17,7 +17,7 @@ CLAIM = "credibility double, src string, rel string, dst string, support_count l
 def claims(weighted: DataFrame, edges: DataFrame, evidence: DataFrame, told: DataFrame) -> DataFrame:
     """Claims of the weighted models: the weights of the models that hold an edge, summed; its
     support and first statements; the foci of those models."""
-    held = edges.filter(~F.col("rel").isin(*V.ANCHORS)).join(F.broadcast(weighted.select(*MODEL, "weight")), MODEL)
+    held = edges.filter(~F.col("rel").isin(*V.ANCHORS)).join(weighted.select(*MODEL, "weight"), MODEL)
     c = held.groupBy("src", "rel", "dst").agg(F.sum("weight").alias("credibility"), F.array_join(F.array_sort(F.collect_set("focus")), "; ").alias("models_supporting"))
     named = lambda d, extra: d.select(F.col("subj").alias("src"), "rel", F.col("obj").alias("dst"), extra)
     out = c.join(named(evidence, "support"), ["src", "rel", "dst"], "left").join(named(told, "examples"), ["src", "rel", "dst"], "left")

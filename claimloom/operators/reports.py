@@ -26,7 +26,7 @@ def claims_table(claims: DataFrame, k: int = V.TOP_CLAIMS) -> DataFrame:
 
 def hub_table(weighted: DataFrame, edges: DataFrame, evidence: DataFrame) -> DataFrame:
     """The hub of each chosen model and its first edges, with their support."""
-    h = C.hubs(edges.join(F.broadcast(weighted.select(*MODEL)), MODEL, "left_semi"))
+    h = C.hubs(edges.join(weighted.select(*MODEL), MODEL, "left_semi"))
     e = evidence.select(F.col("subj").alias("src"), F.col("rel"), F.col("obj").alias("dst"), "support")
     return h.join(e, ["src", "rel", "dst"], "left").select(*MODEL, "hub", "rank", "src", "rel", "dst", F.coalesce("support", F.lit(0)).alias("support"))
 

@@ -66,7 +66,7 @@ def phase_two(triples: DataFrame, settings: Settings | None = None) -> dict[str,
     scores = cut(S.text_scores(nodes, models, S.support(triples), s.edge_cost), "scores")
     best = S.top_models(scores, s.models, 0, s.one_a_focus, s.blacklist, s.keyword_anchors if s.anchor_in_focus else None)
     top = cut(S.softmax(best, "score", s.alpha), "top")
-    held = models.join(F.broadcast(top.select(*G.MODEL)), G.MODEL, "left_semi")
+    held = models.join(top.select(*G.MODEL), G.MODEL, "left_semi")
     keys = held.select(F.col("src").alias("subj"), F.col("dst").alias("obj"), "rel").distinct()
     told = S.examples(triples.join(keys, ["subj", "obj", "rel"], "left_semi"))
     found = C.anchored(C.claims(top, held, S.support(triples, True), told), s.keyword_anchors, s.anchor_scope)
