@@ -38,12 +38,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, shuffle_partitions, small_batches, written
+from .common import drop_written, release, shuffle_partitions, small_batches, written
 from .packing import PACKED, mixed, packed, packed_batch, unpacked
 
 LENGTH, GRAM, HOT = 100, 32, 100_000
 #: Bytes of text, and runs, that make up a part; bytes of a text that are cut into runs at once.
-PART_BYTES, PART_RUNS, BLOCK = 16_000_000, 20_000, 1 << 22
+PART_BYTES, PART_RUNS, BLOCK = 16_000_000, 8_000, 1 << 22
 _B = 0x9E3779B97F4A7C15
 _RUN = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("lead", "u1"), ("count", "u1")])
 _SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
@@ -336,12 +336,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     parts = max(shuffle_partitions(docs.sparkSession), total // PART_BYTES + 1)
     cut = rows.mapInArrow(_cut_runs(length, gram, parts), PACKED)
     marks = written(cut.repartition(parts, "part").mapInArrow(_fold_runs(length, hot, parts), PACKED), "lpf-marks")
+    release(docs.sparkSession)
     left = marks.filter("kind = 2")
     n = left.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
     edge_parts = max(shuffle_partitions(docs.sparkSession), n // _RUN.itemsize // PART_RUNS + 1)
     by_doc = left.repartition(parts, "part").mapInArrow(_by_doc, "doc long, runs array<long>")
     brought = rows.join(by_doc, "doc").mapInArrow(_bring_bytes(length, gram, edge_parts), "part long, packed binary, bytes binary")
     found = written(brought.repartition(edge_parts, "part").mapInArrow(_sort_windows(length, parts), PACKED), "lpf-found")
+    release(docs.sparkSession)
     spans = marks.filter("kind = 1").unionByName(found)
     out = written(spans.repartition(parts, "part").mapInArrow(_merge_docs, "doc long, spans array<long>"), "lpf-spans")
     drop_written(marks)
