@@ -137,7 +137,7 @@ def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 _KEYED = np.dtype([("key", "<u8"), ("fp", "<u8")])
 #: Index and probe rows that make up a part; fingerprints that are dealt at once.
-PART_ROWS, DEALT = 400_000, 20_000
+PART_ROWS, DEALT = 400_000, 4_000
 
 
 def near_links(prints: DataFrame, k: int = DISTANCE, folded: bool = False) -> DataFrame:
