@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..functions import values as V
+from .lineage import cut
 
 
 def document_chunks(docs: DataFrame, most: int = V.CHUNK_CHARS) -> DataFrame:
@@ -38,7 +39,7 @@ def mined_topics(docs: DataFrame, n: int = V.ROOT_TOPICS) -> DataFrame:
     dropped = [*V.TOPIC_GENERIC, *V.TOPIC_LAYOUT]
     found = F.regexp_extract_all(F.lower("text"), F.lit(r"([A-Za-z][A-Za-z\-]{2,})"), F.lit(1))
     good = F.filter(found, lambda w: (F.length(w) >= 4) & ~w.isin(*V.TOPIC_STOPWORDS))
-    rows = docs.select(good.alias("w"))
+    rows = cut(docs.select(good.alias("w")), "topic-words")  # read three times below
     freq = rows.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     kept = rows.select(F.filter("w", lambda w: ~w.isin(*dropped)).alias("w"))
 
