@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimloom.llm import decontam, langid, mix, shard, simhash
+from claimloom.llm import decontam, langid, mix, near_copies, shard
 from claimloom.llm.common import drop_written, table, written
 
 N_SHARDS = 40
@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.first_of_each(docs)
+    """One document of each group of near copies, by the similarity of 5-word shingles, stays."""
+    return near_copies.first_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
