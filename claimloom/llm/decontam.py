@@ -1,14 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds and Smith-Waterman alignment.
 
-Word n-grams of the benchmark items are the seeds. A first pass over the corpus counts in
-how many documents each occurs; a second one joins every text to the items by the rare
-ones among them, and aligns the words around each seed with the item. A passage whose
-alignment reaches `least` of the item's best possible score is a copy, edited or not.
+Word n-grams of the benchmark items are the seeds. One pass over the corpus joins every text
+to the items by the seeds that it holds, and aligns the words around each seed with the
+item. A passage whose alignment reaches `least` of the item's best possible score is a copy,
+edited or not.
 
-A seed is rare if it occurs in at most RARE of all documents, or in FEW, or is at most SPREAD
-times as common as the median of its item's seeds that occur at all. So an item that leaked
-into a third of the corpus, edited or not, keeps the seeds that show it. Before an alignment, the words that passage and item share bound its
-score from above; only passages that cannot reach `least` are passed over.
+No seed is dropped for being common: a seed may be common just because its item leaked, in
+one wording, into much of the corpus. What keeps common seeds cheap are bounds that no copy
+fails. The words that an item shares with the whole text, and then those that it shares with
+the passage, bound the score from above; only what cannot reach `least` is passed over.
 
 The benchmark is sent to the executors in blocks of at most BLOCK words, each searched in
 all texts, so a benchmark of any size takes more passes and not more memory. Texts are not
@@ -32,9 +32,8 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 
-#: Words of a seed; least share of the best score; share and number of documents up to which a
-#: seed is rare, and how much more common than its item's median it may be.
-SEED, LEAST, RARE, FEW, SPREAD = 3, 0.5, 0.001, 10, 4
+#: Words of a seed; least share of the best score.
+SEED, LEAST = 3, 0.5
 #: Alignment scores, words beside a seed's diagonal that an alignment may use, words of a block.
 MATCH, MISMATCH, GAP, SLACK, BLOCK = 2, -1, -1, 8, 1_000_000
 _WORD = re.compile(r"\w+")
@@ -115,40 +114,26 @@ class Index:
         hit = self.distinct[to] == c[at]
         return ids, at[hit], to[hit]
 
-    def counted(self, texts) -> np.ndarray:
-        """In how many of the texts each seed occurs."""
-        out = np.zeros(len(self.distinct), np.int64)
-        for t in texts:
-            out[np.unique(self.found(t)[2])] += 1
-        return out
-
-    def keep_rare(self, counts: np.ndarray, docs: int, rare: float = RARE) -> None:
-        """Forget the seeds of each item that are not rare."""
-        by_entry = np.repeat(counts, self.last - self.first)
-        middle = np.zeros(len(self.items))
-        order = np.lexsort((by_entry, self.owners))
-        firsts = np.searchsorted(self.owners[order], np.arange(len(self.items) + 1))
-        for i in range(len(self.items)):
-            own = by_entry[order[firsts[i] : firsts[i + 1]]]
-            own = own[own > 0]
-            middle[i] = own[len(own) // 2] if len(own) else 0
-        kept = by_entry <= np.maximum(max(FEW, rare * docs), SPREAD * middle[self.owners])
-        self.codes, self.owners, self.places = self.codes[kept], self.owners[kept], self.places[kept]
-        self.distinct, self.first = np.unique(self.codes, return_index=True)
-        self.last = np.append(self.first[1:], len(self.codes))
-
     def hits(self, text: str | None, least: float = LEAST) -> list[dict]:
         """The items of which the text has a copy: score, and the words from start to end."""
         ids, at, to = self.found(text)
-        seen: dict[int, list[int]] = {}
-        for p, g in zip(at.tolist(), to.tolist()):
-            for e in range(self.first[g], self.last[g]):
-                seen.setdefault(int(self.owners[e]), []).append(p - int(self.places[e]))
+        if not len(at):
+            return []
+        many = self.last[to] - self.first[to]
+        entry = np.arange(many.sum()) + np.repeat(self.first[to] - np.cumsum(many) + many, many)
+        owners, diagonals = self.owners[entry], np.repeat(at, many) - self.places[entry]
+        order = np.lexsort((diagonals, owners))
+        owners, diagonals = owners[order], diagonals[order]
+        numbers, firsts = np.unique(owners, return_index=True)
+        present = np.zeros(self.base, bool)
+        present[ids] = True  # -1 is the last one, which no item has
         out = []
-        for number, diagonals in sorted(seen.items()):
+        for number, first, last in zip(numbers.tolist(), firsts, np.append(firsts[1:], len(owners))):
             item, own = self.items[number]
+            if present[own].sum() < least * len(own):
+                continue
             best, spans = (0, 0, 0), []
-            for d in sorted(set(diagonals)):
+            for d in np.unique(diagonals[first:last]).tolist():
                 a, b = max(0, d - SLACK), min(len(ids), d + len(own) + SLACK)
                 if spans and a <= spans[-1][1]:
                     spans[-1][1] = max(b, spans[-1][1])
@@ -180,27 +165,11 @@ def _blocks(items: DataFrame, size: int):
         yield block
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, n: int = SEED, rare: float = RARE, block: int = BLOCK) -> list:
-    """An index of each block of the benchmark, with rare seeds only. Tasks get them with their
-    code, which Spark broadcasts if it is large."""
+def indexes(docs: DataFrame, benchmark: DataFrame, n: int = SEED, block: int = BLOCK) -> list:
+    """An index of each block of the benchmark. Tasks get them with their code, which Spark
+    broadcasts if it is large."""
     small_batches(docs.sparkSession)
-    total, out = docs.count(), []
-    for items in _blocks(benchmark, block):
-        index = Index(items, n)
-
-        def count(batches, index=index):
-            sums = np.zeros(len(index.distinct), np.int64)
-            for b in batches:
-                sums += index.counted(b.column(0).to_pylist())
-            at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], ["seed", "n"])
-
-        counts = np.zeros(len(index.distinct), np.int64)
-        for r in docs.select("text").mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
-            counts[r["seed"]] = r["n"]
-        index.keep_rare(counts, total, rare)
-        out.append(index)
-    return out
+    return [Index(items, n) for items in _blocks(benchmark, block)]
 
 
 def _searched(index: Index, least: float):

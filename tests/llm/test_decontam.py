@@ -72,6 +72,18 @@ def test_an_item_that_leaked_everywhere(spark):
     assert decontam.contamination_report(d, b).count() == 40
 
 
+def test_verbatim_and_popular_edited_copies(spark):
+    """A few hold the item word by word, most of the corpus holds it with every 4th word changed."""
+    item = "ban cer dis fot gul hax jen kir los mut bar cen dir fol gun har jes kit lon mux".split()
+    edited = " ".join(w if i % 4 < 3 else "other" for i, w in enumerate(item))
+    texts = [" ".join(item)] * 2 + [f"some {i} {edited} tail {i}" for i in range(200)] + [f"clean {i} ban cer dis" for i in range(50)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    b = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.contamination_report(d, b).collect()}
+    assert got == {0: 1.0, 1: 1.0} | {i: 0.65 for i in range(2, 202)}
+    assert decontam.decontaminated(d, b).count() == 50
+
+
 def test_edge_tables(spark, docs, no_docs, rows, clashing):
     b = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (4, "nothing that is in any text here")], "item_id long, text string")
     assert decontam.contamination_report(docs, b).count() == 0
