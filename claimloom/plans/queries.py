@@ -143,6 +143,14 @@ def s5_question_file(spark, d):
     return readers.questions(spark, folder).select("topic", "path", "question")
 
 
+@query(f"with {TRIPLES_SQL} select topic, path, question from triples union all select topic, path, 'why ' || subj from triples")
+def s5_question_file_whole(spark, d):
+    """s5_question_file over all triples."""
+    folder = scratch(spark, "questions")
+    writers.json_lines(_triples(spark, d).select("topic", "path", F.array("question", F.concat(F.lit("why "), "subj")).alias("questions")), folder)
+    return readers.questions(spark, folder).select("topic", "path", "question")
+
+
 @query(f"with {TRIPLES_SQL} select topic, question, 0 as pos, statement from triples union all select topic, question, 1, 'and ' || subj from triples")
 def s6_statement_file(spark, d):
     folder = scratch(spark, "statements")

@@ -52,3 +52,15 @@ def test_registry():
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) >= 80
+
+
+def test_question_file_over_all_triples(spark, sql):
+    from claimloom.plans import queries
+
+    name = "s5_question_file_whole"
+    got = queries.QUERIES[name](spark, DATA)
+    want = sql.execute(queries.ORACLE[name])
+    names = [c[0] for c in want.description]
+    rows = got.collect()
+    assert len(rows) == 2 * queries._triples(spark, DATA).count()
+    assert plain(rows, got.columns) == plain(want.fetchall(), names)
