@@ -9,12 +9,13 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Separators of words: space and the ASCII controls tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Most texts that an Arrow batch brings to a Python worker at once.
-BATCH_TEXTS = 1000
+#: Most texts, and bytes, that an Arrow batch brings to a Python worker at once.
+BATCH_TEXTS, BATCH_BYTES = 1000, 16 << 20
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -60,11 +61,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches of this session to BATCH_TEXTS rows, as Spark's default of 10,000 long
-    texts takes most of a worker's memory. A lower setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_TEXTS:
-        spark.conf.set(key, str(BATCH_TEXTS))
+    """Hold Arrow batches of this session to BATCH_TEXTS rows and BATCH_BYTES, as Spark's default of
+    10,000 long texts takes most of a worker's memory. Lower settings stay."""
+    for key, most in (("maxRecordsPerBatch", BATCH_TEXTS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def release(spark: SparkSession) -> None:
@@ -102,3 +104,22 @@ def hash_sample(rows: DataFrame, n: int, key: list, seed: int) -> DataFrame:
     if total > 4 * n:
         rows = rows.filter(F.pmod(spread, F.lit(1 << 30)) < int((1 << 30) * 2 * n / total))
     return rows.orderBy(F.pmod(spread, F.lit(1 << 30)), *rows.columns).limit(n)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with the column __doc, a long in the order of documents. It is doc_id if that is
+    there and tells rows apart; else documents are numbered by doc_id and their texts' hashes,
+    and rows that are equal in both have the same number. Ranges of that order are numbered
+    apart, and start where the counts of those before end."""
+    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n"))
+    if not ids.filter((F.col("n") > 1) | F.col("doc_id").isNull()).limit(1).count():
+        return docs.withColumn("__doc", F.col("doc_id").cast("long")), False
+    key = F.struct(F.col("doc_id").cast("long").alias("i"), F.xxhash64("text").alias("a"), F.md5("text").alias("b"))
+    parts = shuffle_partitions(docs.sparkSession)
+    keys = docs.select(key.alias("__k")).distinct().repartitionByRange(parts, "__k").withColumn("__p", F.spark_partition_id())
+    keys = written(keys, "numbered")
+    counts = keys.groupBy(F.col("__p").alias("__q")).agg(F.count("*").alias("n"))
+    before = counts.select("__q", F.coalesce(F.sum("n").over(Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+    at = F.row_number().over(Window.partitionBy("__p").orderBy("__k"))
+    numbers = keys.withColumn("__r", at).join(before, F.col("__p") == F.col("__q")).select("__k", (F.col("__b") + F.col("__r")).cast("long").alias("__doc"))
+    return docs.withColumn("__key", key).join(numbers, F.col("__key").eqNullSafe(F.col("__k"))).drop("__key", "__k"), True

@@ -28,10 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, shuffle_partitions, small_batches, written
+from .common import numbered, release, shuffle_partitions, small_batches, written
 from .components import components
 from .packing import PACKED, mixed, packed, packed_batch, unpacked
-from .suffix_dedup import _numbered, _prefixes
+from .suffix_dedup import _prefixes
 
 #: Edits of a link; least characters of a line that can have one; characters worked on at once.
 EDITS, LEAST, BLOCK = 2, 20, 1 << 20
@@ -296,7 +296,7 @@ def line_classes(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> tuple[D
 def line_report(docs: DataFrame) -> DataFrame:
     """One row per document: its lines, how many go, which (from 0), and the links that its
     lines have, where it has their first copies, to different lines."""
-    rows, again = _numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    rows, again = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     gone, firsts, links = line_classes(rows.dropDuplicates(["__doc"]) if again else rows)
     lost = gone.groupBy(F.col("doc").alias("__d")).agg(F.array_sort(F.collect_list("line")).alias("removed_lines"))
     ends = links.select(F.explode(F.array("u", "v")).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
@@ -310,7 +310,7 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
     """docs with the lines that go cut out of text."""
-    rows, again = _numbered(docs)
+    rows, again = numbered(docs)
     gone, _, _ = line_classes(rows.dropDuplicates(["__doc"]) if again else rows, k, least)
     lost = gone.groupBy(F.col("doc").alias("__d")).agg(F.collect_list("line").alias("__gone"))
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 
@@ -36,3 +38,19 @@ def unpacked(batches, kinds: dict[int, np.dtype]) -> dict[int, np.ndarray]:
         for k, x in zip(b.column("kind").to_pylist(), b.column("packed").to_pylist()):
             found[k].append(np.frombuffer(x, kinds[k]))
     return {k: np.concatenate([np.empty(0, kinds[k]), *v]) for k, v in found.items()}
+
+
+def by_part(batches):
+    """Batches of rows that are sorted by part, as (part, an iterator of (kind, rows)), one part
+    after the other, so that a task need hold one only."""
+
+    def cells():
+        for b in batches:
+            part, kind = (b.column(c).to_numpy(zero_copy_only=False) for c in ("part", "kind"))
+            new = np.flatnonzero((part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, z in zip([0, *new.tolist()], [*new.tolist(), b.num_rows]):
+                if z > a:
+                    yield int(part[a]), int(kind[a]), b.slice(a, z - a)
+
+    for part, rows in groupby(cells(), lambda c: c[0]):
+        yield part, ((k, b) for _, k, b in rows)

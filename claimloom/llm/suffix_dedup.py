@@ -10,17 +10,20 @@ The suffix array of a corpus does not fit a machine, so it is made in parts that
 sorted apart. Every window of `length` bytes has an anchor, the GRAM bytes in it with the
 least hash, which equal windows share; windows are dealt by their anchor.
 
-1. Texts are cut into runs of windows with the same anchor. Runs whose whole bytes, anchor
-   and place are equal are folded: all but the first go at once, without being sorted.
-   Runs whose anchor has no other run are left alone. Copies within a batch are folded
-   before they are shuffled, so a text that comes a million times is sent once a batch.
-2. The runs that are left, which border copies, bring their bytes. In each part the windows
-   are sorted as suffixes, common prefixes are compared byte by byte, and the previous
-   factors are taken. An anchor with over HOT runs is dealt by whole windows instead.
-3. What goes is merged by document and cut from the text.
-
-Rows travel as packed arrays, one for each part and batch. The number of parts follows the
-number of bytes, so a task's memory does not grow with the corpus.
+1. Of documents with the same text, by 128 bits, only the first goes on. The others are lost
+   whole, if they have `length` bytes.
+2. Texts are cut into runs of windows with the same anchor. Anchors are counted, and the
+   documents told which of theirs other runs have too. Windows of other anchors have no copy.
+3. The runs of shared anchors bring their bytes. In each part all suffixes that begin a window
+   are sorted by their bytes, the common prefixes of neighbours are taken byte by byte, and
+   the previous factors decide.
+4. An anchor with over SPLIT runs is dealt to several parts. What has an earlier copy there
+   goes; the windows that stay meet again by their own bytes, and are decided in the same way.
+   So a string that comes a million times is in no part more often than there are parts.
+5. What goes is merged by document and cut from the text.
+
+Rows travel as packed arrays, and a task holds one part at a time. The number of parts follows
+the number of bytes and of windows, so a task's memory does not grow with the corpus.
 
 Defined cases. Null texts are empty; texts shorter than `length` lose nothing. Repeated
 rows, equal in doc_id and text, are one document, and have equal results. Rows with the same
@@ -34,20 +37,22 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, release, shuffle_partitions, small_batches, written
-from .packing import PACKED, mixed, packed, packed_batch, unpacked
+from .common import drop_written, numbered, release, shuffle_partitions, small_batches, written
+from .packing import PACKED, by_part, mixed, packed, packed_batch, unpacked
 
-LENGTH, GRAM, HOT = 100, 32, 100_000
-#: Bytes of text, and runs, that make up a part; bytes of a text that are cut into runs at once.
-PART_BYTES, PART_RUNS, BLOCK = 16_000_000, 8_000, 1 << 22
+LENGTH, GRAM = 100, 32
+#: Bytes of text, and windows, that make up a part; runs of an anchor in one part; bytes that are
+#: cut into runs at once.
+PART_BYTES, PART_WINDOWS, SPLIT, BLOCK = 8_000_000, 150_000, 500, 1 << 19
 _B = 0x9E3779B97F4A7C15
-_RUN = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("lead", "u1"), ("count", "u1")])
+_COUNT = np.dtype([("anchor", "<u8"), ("part", "<i4"), ("runs", "<i4")])
+_SHARED = np.dtype([("anchor", "<u8"), ("salts", "<i4")])
 _SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
-_EDGE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("count", "<i4")])
+_EDGE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("count", "u1"), ("again", "u1")])
+_BYTES = "part long, kind int, packed binary, bytes binary"
 
 
 def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:
@@ -69,47 +74,46 @@ def _prefixes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, q
 
 
-def runs(text: bytes, doc: int, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """The text's windows as runs with the same anchor."""
-    out = []
-    for at in range(0, max(1, len(text) - length + 1), BLOCK):
-        data = np.frombuffer(text, np.uint8)[at : at + BLOCK + length - 1]
-        if len(data) < length:
-            continue
-        sums, q = _prefixes(data)
-        h = mixed((sums[gram:] - sums[:-gram]) * q[: len(data) - gram + 1])
-        low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-        width, size = length - gram + 1, 1
-        while size * 2 <= width:
-            low = np.minimum(low[:-size], low[size:])
-            size *= 2
-        if size < width:
-            low = np.minimum(low[: size - width], low[width - size :])
-        place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        count = np.diff(np.append(first, len(place)))
-        got = np.empty(len(first), _RUN)
-        got["anchor"], got["doc"], got["start"] = h[place[first]], doc, first + at
-        got["lead"], got["count"] = place[first] - first, count
-        whole = (sums[first + count + length - 1] - sums[first]) * q[first]
-        got["whole"] = mixed(whole + got["lead"].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + got["count"].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        out.append(got)
-    return np.concatenate(out) if out else np.empty(0, _RUN)
-
-
-def _folded(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs sorted by anchor, whole bytes and place in the corpus; which have an equal one before."""
-    r = r[np.lexsort((r["start"], r["doc"], r["whole"], r["anchor"]))]
-    same = np.zeros(len(r), bool)
-    same[1:] = (r["anchor"][1:] == r["anchor"][:-1]) & (r["whole"][1:] == r["whole"][:-1])
-    return r, same
-
-
-def _spans(r: np.ndarray, length: int) -> np.ndarray:
-    """The bytes of runs, as merged spans."""
-    out = np.empty(len(r), _SPAN)
-    out["doc"], out["start"], out["end"] = r["doc"], r["start"], r["start"] + r["count"].astype(np.int64) + length - 1
-    return merged(out)
+def pieces(docs: list[int], texts: list[bytes], length: int = LENGTH, block: int = BLOCK):
+    """The texts in lists of about `block` bytes: (doc, offset, bytes). Every window of `length`
+    bytes lies in one piece, and in one only."""
+    out, size = [], 0
+    for doc, text in zip(docs, texts):
+        for at in range(0, len(text) - length + 1, block):
+            out.append((doc, at, text[at : at + block + length - 1] if len(text) > block else text))
+            size += len(out[-1][2])
+            if size >= block:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
+
+
+def runs(cut: list, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of pieces as runs with the same anchor: the bytes of all, and each run's anchor,
+    its doc, start and count, and where it stands in the bytes."""
+    data = np.frombuffer(b"".join(c[2] for c in cut), np.uint8)
+    sizes = np.array([len(c[2]) for c in cut], np.int64)
+    firsts = np.cumsum(sizes) - sizes
+    sums, q = _prefixes(data)
+    h = mixed((sums[gram:] - sums[:-gram]) * q[: len(data) - gram + 1])
+    low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    width, size = length - gram + 1, 1
+    while size * 2 <= width:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    if size < width:
+        low = np.minimum(low[: size - width], low[width - size :])
+    place = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    owner = np.repeat(np.arange(len(cut)), sizes)[: len(place)]
+    inside = np.flatnonzero(np.arange(len(place)) + length <= (firsts + sizes)[owner])
+    place = place[inside]
+    new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    at = inside[new]
+    edges, own = np.zeros(len(new), _EDGE), owner[at]
+    edges["doc"], edges["count"] = np.array([c[0] for c in cut], np.int64)[own], np.diff(np.append(new, len(place)))
+    edges["start"] = at - firsts[own] + np.array([c[1] for c in cut], np.int64)[own]
+    return data, h[place[new]], edges, at
 
 
 def merged(spans: np.ndarray) -> np.ndarray:
@@ -161,144 +165,161 @@ def longest_previous_factors(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
     return np.maximum(_previous(place, lcp), after)
 
 
-def _common(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Common prefixes, up to length, of the strings that start at a and at b."""
-    out, step = np.empty(len(a), np.int32), np.arange(length)
-    for i in range(0, len(a), 1 << 15):
-        differ = data[a[i : i + (1 << 15), None] + step] != data[b[i : i + (1 << 15), None] + step]
-        at = differ.argmax(1)
-        out[i : i + (1 << 15)] = np.where(differ[np.arange(len(at)), at], at, length)
-    return out
+def suffix_order(data: np.ndarray, at: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of data that start at `at`, in the order of their first `length` bytes, and the
+    common prefix of each, up to `length`, with the one before it."""
+    rows = np.lib.stride_tricks.sliding_window_view(data, length)[at]
+    order = np.argsort(rows.view(f"V{length}").ravel(), kind="stable")
+    lcp = np.zeros(len(at), np.int16)
+    for i in range(1, len(at), 1 << 14):
+        a, b = rows[order[i - 1 : i - 1 + (1 << 14)]][: len(at) - i], rows[order[i : i + (1 << 14)]]
+        differ = a != b
+        to = differ.argmax(1)
+        lcp[i : i + len(b)] = np.where(differ[np.arange(len(b)), to], to, length)
+    return order, lcp
+
+
+def repeated(edges: np.ndarray, data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """edges: runs of windows; data: their bytes, one run after the other. Gives of each window
+    the run it is of, where it stands in data, and whether one before it in the corpus has
+    the same bytes."""
+    count = edges["count"].astype(np.int64)
+    first = np.cumsum(count + length - 1) - (count + length - 1)
+    owner = np.repeat(np.arange(len(edges), dtype=np.int32), count)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    at = first[owner] + within
+    place = np.empty(len(at), np.int32)
+    place[np.lexsort((edges["start"][owner] + within, edges["doc"][owner]))] = np.arange(len(at), dtype=np.int32)
+    gone = np.zeros(len(at), bool)
+    if len(at):
+        order, lcp = suffix_order(data, at, length)
+        gone[order] = longest_previous_factors(place[order], lcp) >= length
+    return owner, at, gone
 
 
-def repeated(edges: np.ndarray, data: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Spans of the windows with an earlier copy among these. edges: runs of windows; data:
-    their bytes, one run after the other."""
-    if not len(edges):
-        return np.empty(0, _SPAN)
+def _spans(edges: np.ndarray, owner: np.ndarray, gone: np.ndarray, length: int) -> np.ndarray:
+    """The bytes of the windows that go, as merged spans."""
     count = edges["count"].astype(np.int64)
-    first = np.concatenate([[0], np.cumsum(count + length - 1)[:-1]])
-    owner = np.repeat(np.arange(len(edges)), count)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-    at = first[owner] + within
-    sums, q = _prefixes(data)
-    h = (sums[at + length] - sums[at]) * q[at]
-    order = np.argsort(h, kind="stable")
-    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-    kind = np.empty(len(h), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    often = np.bincount(kind) > 1
-    keep = np.flatnonzero(often[kind])  # a window whose hash is its own has no copy
-    if not len(keep):
-        return np.empty(0, _SPAN)
-    at, owner, within, kind = at[keep], owner[keep], within[keep], kind[keep]
-    _, example, kind = np.unique(kind, return_index=True, return_inverse=True)
-    strings = np.ascontiguousarray(data[at[example][:, None] + np.arange(length)]).view(f"V{length}").ravel()
-    rank = np.empty(len(example), np.int64)
-    rank[np.argsort(strings, kind="stable")] = np.arange(len(example))
-    doc, start = edges["doc"][owner], edges["start"][owner].astype(np.int64) + within
-    place = np.empty(len(at), np.int64)
-    place[np.lexsort((start, doc))] = np.arange(len(at))
-    suffixes = np.lexsort((place, rank[kind]))
-    lcp = np.zeros(len(at), np.int32)
-    lcp[1:] = _common(data, at[suffixes][:-1], at[suffixes][1:], length)
-    gone = suffixes[longest_previous_factors(place[suffixes], lcp) >= length]
-    out = np.empty(len(gone), _SPAN)
-    out["doc"], out["start"], out["end"] = doc[gone], start[gone], start[gone] + length
+    at = np.flatnonzero(gone)
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) > 1) | (owner[at[1:]] != owner[at[:-1]])
+    first, last = at[new], at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] if len(at) else at
+    out = np.empty(len(first), _SPAN)
+    start = edges["start"][owner[first]].astype(np.int64)
+    out["doc"], out["start"], out["end"] = edges["doc"][owner[first]], start + within[first], start + within[last] + length
     return merged(out)
 
 
-def _cut_runs(length: int, gram: int, parts: int):
+def _counted(length: int, gram: int, parts: int):
+    """How many runs of each anchor a part of the texts has, for those that are no copies."""
+
     def run(batches):
-        for b in batches:
-            docs = b.column("doc").to_pylist()
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            got = [runs(t, d, length, gram) for d, t in zip(docs, texts) if t is not None and len(t) >= length]
-            r = np.concatenate(got) if got else np.empty(0, _RUN)
-            key = r["anchor"] * np.uint64(_B) + r["whole"]
-            order = np.argsort(key, kind="stable")
-            twin = key[order][1:] == key[order][:-1]
-            many = np.zeros(len(r), bool)
-            many[order[1:][twin]] = many[order[:-1][twin]] = True
-            some, same = _folded(r[many])
-            spans, r = _spans(some[same], length), np.concatenate([r[~many], some[~same]])
-            out = packed(r, (r["anchor"] % np.uint64(parts)).astype(np.int64), 0)
-            out += packed(spans, _doc_part(spans["doc"], parts), 1)
-            if out:
-                yield packed_batch(out)
+        for part, rows in by_part(batches):
+            copies, found = set(), []
+            for kind, b in rows:
+                if kind == 0:
+                    copies.update(b.column("doc").to_pylist())
+                    continue
+                keep = [(d, t) for d, t in zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()) if d not in copies]
+                for cut in pieces([d for d, _ in keep], [t for _, t in keep], length):
+                    found.append(np.unique(runs(cut, length, gram)[1], return_counts=True))
+            if found:
+                anchors, counts = (np.concatenate(x) for x in zip(*found))
+                keys, back = np.unique(anchors, return_inverse=True)
+                r = np.empty(len(keys), _COUNT)
+                r["anchor"], r["part"], r["runs"] = keys, part, np.bincount(back, counts).astype(np.int32)
+                yield packed_batch(packed(r, (keys % np.uint64(parts)).astype(np.int64), 0))
 
     return run
 
 
-def _fold_runs(length: int, hot: int, parts: int):
-    """Spans (kind 1) of runs with an equal one before; runs (kind 2) whose anchor has others."""
+def _told(split: int):
+    """To the parts of the texts: their anchors that have several runs, and to how many parts of
+    windows those are dealt. runs: how many of the part's runs that are."""
 
     def run(batches):
-        got = unpacked(batches, {0: _RUN, 1: _SPAN})
-        r, same = _folded(got[0])
-        spans = merged(np.concatenate([got[1], _spans(r[same], length)]))
-        r = r[~same]
-        if len(r):
-            _, number, often = np.unique(r["anchor"], return_inverse=True, return_counts=True)
-            often = often[number]
-            edges = r[often > 1].copy()
-            edges["count"] += (often[often > 1] > hot).astype(np.uint8) * 128
-        else:
-            edges = r
-        out = packed(spans, _doc_part(spans["doc"], parts), 1) + packed(edges, _doc_part(edges["doc"], parts), 2)
+        r = unpacked(batches, {0: _COUNT})[0]
+        keys, back = np.unique(r["anchor"], return_inverse=True)
+        total = np.bincount(back, r["runs"], len(keys)).astype(np.int64)[back]
+        r, total = r[total > 1], total[total > 1]
+        told = np.empty(len(r), _SHARED)
+        told["anchor"], told["salts"] = r["anchor"], -(-total // split)
+        many = np.bincount(r["part"], r["runs"]).astype(np.int64)
+        out = packed(told, r["part"].astype(np.int64), 1)
         if out:
-            yield packed_batch(out)
+            cells = [pa.array([o[0] for o in out], pa.int64()), pa.array([int(many[o[0]]) for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cells, ["part", "runs", "packed"])
 
     return run
 
 
-def _by_doc(batches):
-    """Runs of each document as packed numbers: start, lead, and count."""
-    r = unpacked(batches, {2: _RUN})[2]
-    r = r[np.lexsort((r["start"], r["doc"]))]
-    if len(r):
-        docs, first = np.unique(r["doc"], return_index=True)
-        numbers = (r["start"].astype(np.int64) << 16) | (r["lead"].astype(np.int64) << 8) | r["count"]
-        offsets = pa.array(np.append(first, len(r)), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(docs), pa.ListArray.from_arrays(offsets, pa.array(numbers))], ["doc", "runs"])
+def _joined(edges: np.ndarray, data: np.ndarray, at: np.ndarray, dest: np.ndarray, length: int, kind: int) -> pa.RecordBatch:
+    """Runs, and their bytes, which start at `at` in data, packed by dest."""
+    order = np.argsort(dest, kind="stable")
+    edges, at, dest = edges[order], at[order], dest[order]
+    size = edges["count"].astype(np.int64) + length - 1
+    ends = np.cumsum(size)
+    text = data[np.arange(ends[-1]) + np.repeat(at - ends + size, size)]
+    cuts = np.append(np.flatnonzero(np.concatenate([[True], dest[1:] != dest[:-1]])), len(dest))
+    column = lambda offsets, x: pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(x)])
+    cells = [pa.array(dest[cuts[:-1]], pa.int64()), pa.array(np.full(len(cuts) - 1, kind, np.int32)), column(cuts * _EDGE.itemsize, edges.tobytes()), column(np.append(0, ends)[cuts], text)]
+    return pa.RecordBatch.from_arrays(cells, ["part", "kind", "packed", "bytes"])
 
 
-def _bring_bytes(length: int, gram: int, parts: int):
-    """(part, runs, their bytes) of the runs that step 1 has left."""
+def _brought(length: int, gram: int, parts: int):
+    """The runs of shared anchors, and their bytes, dealt by anchor."""
 
     def run(batches):
-        for b in batches:
-            bins: dict[int, tuple[list, list]] = {}
-            texts = b.column("text").cast(pa.binary()).to_pylist()
-            for doc, text, numbers in zip(b.column("doc").to_pylist(), texts, b.column("runs").to_pylist()):
-                for x in numbers:
-                    start, lead, count = x >> 16, (x >> 8) & 255, x & 255
-                    if count & 128:
-                        todo = [(s, 1, text[s : s + length]) for s in range(start, start + (count & 127))]
-                    else:
-                        todo = [(start, count, text[start + lead : start + lead + gram])]
-                    for s, n, key in todo:
-                        to = bins.setdefault(xxhash.xxh64_intdigest(key) % parts, ([], []))
-                        to[0].append((doc, s, n))
-                        to[1].append(text[s : s + n + length - 1])
-            if bins:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(bins), pa.int64()), pa.array([np.array(v[0], _EDGE).tobytes() for v in bins.values()], pa.binary()), pa.array([b"".join(v[1]) for v in bins.values()], pa.binary())],
-                    ["part", "packed", "bytes"],
-                )
+        for _, rows in by_part(batches):
+            copies, told, shared = set(), [np.empty(0, _SHARED)], None
+            for kind, b in rows:
+                if kind == 0:
+                    copies.update(b.column("doc").to_pylist())
+                    continue
+                if kind == 1:
+                    told += [np.frombuffer(x, _SHARED) for x in b.column("packed").to_pylist()]
+                    continue
+                if shared is None:
+                    shared = np.sort(np.concatenate(told), order="anchor")
+                keep = [(d, t) for d, t in zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()) if d not in copies]
+                for cut in pieces([d for d, _ in keep], [t for _, t in keep], length) if len(shared) else ():
+                    data, anchor, edges, at = runs(cut, length, gram)
+                    to = np.searchsorted(shared["anchor"], anchor).clip(max=len(shared) - 1)
+                    some = np.flatnonzero(shared["anchor"][to] == anchor)
+                    if not len(some):
+                        continue
+                    edges, at, anchor, salts = edges[some], at[some], anchor[some], shared["salts"][to[some]].astype(np.uint64)
+                    edges["again"] = salts > 1
+                    own = mixed(edges["doc"].astype(np.uint64) * np.uint64(_B) + edges["start"].astype(np.uint64)) % salts
+                    dest = mixed(anchor + own * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(parts)
+                    yield _joined(edges, data, at, dest.astype(np.int64), length, 0)
 
     return run
 
 
-def _sort_windows(length: int, parts: int):
+def _decided(length: int, doc_parts: int, parts: int):
+    """Kind 1: spans that go. Kind 3: windows that stay here, of anchors that are in several parts."""
+
     def run(batches):
-        edges, data = [], []
-        for b in batches:
-            edges += b.column("packed").to_pylist()
-            data += b.column("bytes").to_pylist()
-        spans = repeated(np.frombuffer(b"".join(edges), _EDGE), np.frombuffer(b"".join(data), np.uint8), length)
-        if len(spans):
-            yield packed_batch(packed(spans, _doc_part(spans["doc"], parts), 1))
+        for _, rows in by_part(batches):
+            got = [(x, y) for _, b in rows for x, y in zip(b.column("packed").to_pylist(), b.column("bytes").to_pylist())]
+            edges, data = np.frombuffer(b"".join(x for x, _ in got), _EDGE), np.frombuffer(b"".join(y for _, y in got), np.uint8)
+            owner, at, gone = repeated(edges, data, length)
+            out = packed(spans := _spans(edges, owner, gone, length), _doc_part(spans["doc"], doc_parts), 1)
+            if out:
+                cells = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([*cells, pa.nulls(len(out), pa.binary())], ["part", "kind", "packed", "bytes"])
+            left = np.flatnonzero(~gone & (edges["again"][owner] > 0))
+            if len(left):
+                count = edges["count"].astype(np.int64)
+                own, at = owner[left], at[left]
+                alone = edges[own]
+                alone["start"] += (left - (np.cumsum(count) - count)[own]).astype(np.int32)
+                alone["count"], alone["again"] = 1, 0
+                sums, q = _prefixes(data)
+                key = mixed((sums[at + length] - sums[at]) * q[at])
+                yield _joined(alone, data, at, (key % np.uint64(parts)).astype(np.int64), length, 3)
 
     return run
 
@@ -311,43 +332,48 @@ def _merge_docs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(docs), pa.ListArray.from_arrays(pa.array(np.append(first, len(s)), pa.int32()), pa.array(numbers))], ["doc", "spans"])
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
-    """docs with the column __doc, a long in the order of documents. It is doc_id if that is
-    there and tells rows apart; else documents are numbered in their order, and rows may have
-    the same number."""
-    ids = docs.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    if not ids.filter((F.col("n") > 1) | F.col("doc_id").isNull()).limit(1).count():
-        return docs.withColumn("__doc", F.col("doc_id").cast("long")), False
-    rows = docs.withColumn("__text", F.xxhash64("text"))
-    keys = rows.select("doc_id", "__text").distinct().orderBy("doc_id", "__text")
-    numbers = keys.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("__i long, __t long, __doc long")
-    numbers = written(numbers, "lpf-numbers")
-    return rows.join(numbers, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__text") == F.col("__t"))).drop("__i", "__t", "__text"), True
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
     """(doc, spans): of each document that loses bytes, the merged spans, each as a number
     start * 2^32 + end. docs has __doc, which tells rows apart, and text."""
-    if not 1 <= gram < length or length - gram > 126:
-        raise ValueError("gram must be below length, by 126 at most")
-    small_batches(docs.sparkSession)
+    if not 1 <= gram < length or length - gram > 254:
+        raise ValueError("gram must be below length, by 254 at most")
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col("__doc").alias("doc"), "text").filter(F.octet_length("text") >= length)
-    total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    parts = max(shuffle_partitions(docs.sparkSession), total // PART_BYTES + 1)
-    cut = rows.mapInArrow(_cut_runs(length, gram, parts), PACKED)
-    marks = written(cut.repartition(parts, "part").mapInArrow(_fold_runs(length, hot, parts), PACKED), "lpf-marks")
-    release(docs.sparkSession)
-    left = marks.filter("kind = 2")
-    n = left.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
-    edge_parts = max(shuffle_partitions(docs.sparkSession), n // _RUN.itemsize // PART_RUNS + 1)
-    by_doc = left.repartition(parts, "part").mapInArrow(_by_doc, "doc long, runs array<long>")
-    brought = rows.join(by_doc, "doc").mapInArrow(_bring_bytes(length, gram, edge_parts), "part long, packed binary, bytes binary")
-    found = written(brought.repartition(edge_parts, "part").mapInArrow(_sort_windows(length, parts), PACKED), "lpf-found")
-    release(docs.sparkSession)
-    spans = marks.filter("kind = 1").unionByName(found)
-    out = written(spans.repartition(parts, "part").mapInArrow(_merge_docs, "doc long, spans array<long>"), "lpf-spans")
-    drop_written(marks)
-    drop_written(found)
+    hashed = written(rows.select("doc", F.octet_length("text").cast("long").alias("size"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b")), "lpf-hashed")
+    total = hashed.agg(F.sum("size")).first()[0] or 0
+    parts = max(shuffle_partitions(spark), total // PART_BYTES + 1)
+    firsts = hashed.groupBy("a", "b").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = written(hashed.join(firsts, ["a", "b"]).filter("doc <> first").select("doc", "size"), "lpf-copies")
+    drop_written(hashed)
+
+    def tagged(*more: DataFrame) -> DataFrame:
+        """Rows by the part of their document: first which are copies, then more, then texts."""
+        part, none = F.pmod(F.xxhash64("doc"), F.lit(parts)).alias("part"), F.lit(None).cast("binary").alias("packed")
+        all_ = copies.select(part, F.lit(0).alias("kind"), "doc", F.lit(None).cast("string").alias("text"), none)
+        for m in (*more, rows.select(part, F.lit(2).alias("kind"), "doc", "text", none)):
+            all_ = all_.unionByName(m)
+        return all_.repartition(parts, "part").sortWithinPartitions("part", "kind")
+
+    counts = tagged().mapInArrow(_counted(length, gram, parts), PACKED)
+    told = written(counts.repartition(parts, "part").mapInArrow(_told(split), "part long, runs long, packed binary"), "lpf-told")
+    release(spark)
+    n = (told.agg(F.sum("runs")).first()[0] or 0) * (length - gram + 2) // 2
+    edge_parts = max(shuffle_partitions(spark), n // PART_WINDOWS + 1)
+    replies = told.select("part", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("doc"), F.lit(None).cast("string").alias("text"), "packed")
+    brought = tagged(replies).mapInArrow(_brought(length, gram, edge_parts), _BYTES)
+    decided = brought.repartition(edge_parts, "part").sortWithinPartitions("part").mapInArrow(_decided(length, parts, edge_parts), _BYTES)
+    found = written(decided, "lpf-found")
+    release(spark)
+    left = found.filter("kind = 3")
+    n = (left.agg(F.sum(F.octet_length("packed").cast("long"))).first()[0] or 0) // _EDGE.itemsize
+    last = left.repartition(max(shuffle_partitions(spark), n // PART_WINDOWS + 1), "part").sortWithinPartitions("part").mapInArrow(_decided(length, parts, edge_parts), _BYTES)
+    spans = found.unionByName(last).filter("kind = 1").select("part", "kind", "packed")
+    merged_ = spans.repartition(parts, "part").mapInArrow(_merge_docs, "doc long, spans array<long>")
+    out = written(merged_.unionByName(copies.select("doc", F.array("size").alias("spans"))), "lpf-spans")
+    for t in (copies, told, found):
+        drop_written(t)
+    release(spark)
     return out
 
 
@@ -376,7 +402,7 @@ def digest(text: str, spans: str) -> Column:
 
 def with_spans(docs: DataFrame, length: int = LENGTH, **params) -> DataFrame:
     """docs with __spans, what each row's text loses (null: nothing)."""
-    rows, again = _numbered(docs)
+    rows, again = numbered(docs)
     spans = repeated_spans(rows.dropDuplicates(["__doc"]) if again else rows, length, **params).select(F.col("doc").alias("__d"), F.col("spans").alias("__spans"))
     return rows.join(spans, F.col("__doc") == F.col("__d"), "left").drop("__doc", "__d")
 

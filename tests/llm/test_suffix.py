@@ -45,11 +45,11 @@ def texts(seed, n=60):
     return [*out, "", None, "a" * 500, "ab" * 400, "\0" * 300, out[3], out[3]]
 
 
-@pytest.mark.parametrize("n,gram,hot", [(100, 32, 100_000), (40, 16, 100_000), (40, 16, 2), (20, 1, 100_000)])
-def test_against_all_windows(spark, n, gram, hot):
+@pytest.mark.parametrize("n,gram,split", [(100, 32, 100_000), (40, 16, 100_000), (40, 16, 2), (20, 1, 100_000), (20, 1, 1)])
+def test_against_all_windows(spark, n, gram, split):
     rows = list(enumerate(texts(n + gram)))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    found = sd.with_spans(df, n, gram=gram, hot=hot)
+    found = sd.with_spans(df, n, gram=gram, split=split)
     got = {r["doc_id"]: tuple(r[1:]) for r in found.select("doc_id", sd.digest("text", "__spans").alias("x")).select("doc_id", "x.*").collect()}
     assert got == brute(rows, n)
 
@@ -71,9 +71,52 @@ def test_edge_tables(no_docs, docs, rows, clashing):
     assert set(clashing.columns) < set(sd.with_spans(clashing).columns)
 
 
-def test_long_text_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(sd, "BLOCK", 300)
-    x = texts(9)
-    one = "".join(t or "" for t in x)
-    got = sd.runs(one.encode(), 1)
-    assert got["count"].sum() == len(one.encode()) - 99
+def test_every_window_is_in_one_run():
+    made = [(t or "").encode() for t in texts(9)]
+    docs = list(range(len(made)))
+    for block in (300, 1 << 19):
+        seen = set()
+        for cut in sd.pieces(docs, made, 100, block):
+            data, anchors, edges, at = sd.runs(cut)
+            for e, a in zip(edges.tolist(), at.tolist()):
+                doc, start, count, _ = e
+                assert data[a : a + count + 99].tobytes() == made[doc][start : start + count + 99]
+                for i in range(count):
+                    assert (doc, start + i) not in seen
+                    seen.add((doc, start + i))
+        assert len(seen) == sum(max(0, len(t) - 99) for t in made)
+
+
+def test_suffixes_are_sorted_by_their_bytes():
+    x = np.frombuffer("".join(t or "" for t in texts(4)).encode(), np.uint8)
+    at = np.random.default_rng(1).permutation(len(x) - 99)[:2000]
+    order, lcp = sd.suffix_order(x, at)
+    rows = [x[i : i + 100].tobytes() for i in at[order]]
+    assert rows == sorted(rows) and lcp[0] == 0
+    for a, b, n in zip(rows, rows[1:], lcp[1:].tolist()):
+        assert a[:n] == b[:n] and (n == 100 or a[n] != b[n])
+
+
+def test_the_array_decides(spark, monkeypatch):
+    """With factors of zero nothing goes but whole copies."""
+    r = random.Random(8)
+    p, q = ("".join(r.choice("abcdefgh") for _ in range(n)) for n in (40, 120))
+    df = spark.createDataFrame([(1, "x" + p + q), (2, "y" + p + q), (3, "y" + p + q), (4, q + p)], "doc_id long, text string")
+    removed = lambda: [r["n_removed"] for r in sd.suffix_report(df).sort("doc_id").collect()]
+    assert removed() == [0, 160, 161, 120]
+    monkeypatch.setattr(sd, "longest_previous_factors", lambda place, lcp: np.zeros(len(place), np.int64))
+    assert removed() == [0, 0, 161, 0]
+
+
+def test_one_anchor_with_very_many_runs(spark, monkeypatch):
+    """A string that 100,000 texts share, between bytes of their own: no part gets too many runs."""
+    line, whole = "a line that all of these texts have, and that is far longer than the hundred bytes which make a copy of it, so", sd.repeated
+
+    def bounded(edges, data, length):
+        assert edges["count"].sum() <= 3 * sd.PART_WINDOWS
+        return whole(edges, data, length)
+
+    monkeypatch.setattr(sd, "repeated", bounded)
+    df = spark.range(100_000).selectExpr("id as doc_id", f"concat(md5(cast(id as string)), '{line}', md5(cast(-id as string))) as text")
+    got = {r["doc_id"]: r["n_removed"] for r in sd.suffix_report(df.repartition(8)).collect()}
+    assert len(got) == 100_000 and got.pop(0) == 0 and min(got.values()) >= len(line)
