@@ -86,6 +86,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names are."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def n_bytes(text: str | Column) -> Column:
     """UTF-8 bytes of a text; null counts none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

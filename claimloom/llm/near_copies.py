@@ -1,23 +1,27 @@
-"""Near copies by the Jaccard similarity of word shingles, found whole by prefix filtering.
-
-A text is the set of its shingles' XXH64 hashes. Two texts link if their sets have a
-similarity of SIMILAR or more; there is no sampling and no sketch in between. The shingles
-are put in one order, and the first few of a text are its prefix, so long that two texts
-that link share a shingle of both prefixes. Any one order will do for that: it goes by how
-many texts of a sample hold a shingle, and then by hash, so that shingles of many texts are
-seldom in a prefix. Sizes, the places of the shared shingle, and bitmaps of the sets drop pairs
-that cannot link: sets differ in as many shingles at least as their bitmaps in bits. What is
-left is compared by the sets themselves.
-
-Texts that share a shingle of their prefixes make a run. First all of a run are compared
-with its smallest member. What then still lies in different components is compared in
-pairs, so a group of near copies is not compared pair by pair, and no link that joins two
-components is left out.
+"""The groups of near copies behind operator 3's stage: SimHash, pigeonring filtering, exact check.
+
+Two texts link if their sets of word shingles have a Jaccard similarity of SIMILAR or more.
+Fingerprints that far apart differ in many bits, and keys short enough to allow for them would
+bring all texts together. So candidates share a shingle first: shingles are put in one order,
+the first few of a text are its prefix, and the prefix is so long that two texts that link
+have a shingle of it in common. Any one order will do for that: it goes by how many texts of
+a sample hold a shingle, and then by hash, so that shingles of many texts are seldom in a prefix.
+
+Texts that share a shingle of their prefixes make a run, in which 128-bit SimHash fingerprints
+are compared. Their segments form a ring, and a pair stays only if from some segment on every
+chain of consecutive segments is within its share of RADIUS, up to the whole ring, which is
+the Hamming check. RADIUS is over five standard deviations above what texts at the limit
+differ in; texts of few shingles, of which that does not hold, are not put to it. What stays
+is compared by the sets themselves.
+
+First all of a run are compared with its smallest member. What then still lies in different
+components is compared in pairs, so a group of near copies is not compared pair by pair, and
+no link that joins two components is left out.
 
 Defined cases. Words are cut at ASCII white space, A-Z in lower case. Texts with the same
-words are folded to one before the join, by 64 bits. Null texts and texts without a word
+words are folded to one before the join, by 128 bits. Null texts and texts without a word
 are copies of each other. Fewer words than a shingle make one shingle of all. A null doc_id
-counts as the largest. An empty table gives an empty table.
+comes first. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,25 +34,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, hash_sample, release, shuffle_partitions, small_batches, written
+from .common import drop_written, release, shuffle_partitions, small_batches, written
 from .components import components
+from .fingerprints import SEED, sketch, within_ring
 from .packing import PACKED, mixed, packed, packed_batch, unpacked
 
-#: Words of a shingle, the similarity of a link as a fraction, the hash seed, and the texts of the sample.
-SHINGLE, SIMILAR, SEED, SAMPLE = 5, (4, 5), 42, 2_000
+#: Words of a shingle; the similarity of a link as a fraction; differing bits of 128 that links may
+#: have, and the shingles from which on they are asked for; the texts of the sample.
+SHINGLE, SIMILAR, RADIUS, FEW, SAMPLE = 5, (4, 5), 42, 24, 20_000
 #: Rows of prefixes that make up a part, and pairs that are made at once.
-PART_ROWS, BLOCK = 400_000, 1 << 18
-_KEYED = np.dtype([("key", "<u8"), ("unit", "<i8"), ("size", "<i4"), ("place", "<i4")])
-_NAMED = np.dtype([("key", "<u8"), ("unit", "<i8"), ("size", "<i4"), ("place", "<i4"), ("root", "<i8")])
-_RUNS, _PAIRS = "key long, unit long, size int, place int, first long, first_size int, first_place int", "u long, v long"
+PART_ROWS, BLOCK = 250_000, 1 << 16
+_FIELDS = [("key", "<u8"), ("unit", "<i8"), ("size", "<i4"), ("place", "<i4"), ("f0", "<u8"), ("f1", "<u8")]
+_KEYED, _NAMED = np.dtype(_FIELDS), np.dtype([*_FIELDS, ("root", "<i8")])
+_PAIR = np.dtype([("u", "<i8"), ("v", "<i8")])
+_RUNS, _PAIRS = "key long, unit long, size int, place int, f0 long, f1 long", "u long, v long"
 
 
-def shingles(text: bytes | None, n: int = SHINGLE) -> tuple[int, np.ndarray]:
-    """The hash of a text's words, signed, and the distinct hashes of its shingles."""
+def shingles(text: bytes | None, n: int = SHINGLE) -> tuple[bytes, np.ndarray]:
+    """The hash of a text's words, 16 bytes, and the distinct hashes of its shingles."""
     words = (text or b"").lower().split()  # of bytes: A-Z only, and ASCII white space only
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    unit = digest(joined, SEED)
-    unit -= (unit >> 63) << 64
+    unit = xxhash.xxh3_128_digest(joined, SEED)
     if not words:
         return unit, np.empty(0, np.uint64)
     if len(words) < n:
@@ -70,28 +76,16 @@ def prefix(size: int, similar: tuple[int, int] = SIMILAR) -> int:
     return size - (p * size + q - 1) // q + 1 if size else 0
 
 
-def bitmap(h: np.ndarray) -> bytes:
-    """Which values modulo a power of two, of a set's size or more, an odd number of its hashes have."""
-    m = max(64, 1 << (len(h) - 1).bit_length()) if len(h) else 64
-    return np.packbits(np.bincount((h & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1 > 0, bitorder="little").tobytes()
-
-
-def bits_apart(a: bytes, b: bytes) -> int:
-    """In how many bits bitmaps differ, the longer one folded to the length of the shorter."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    n = min(len(x), len(y))
-    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
-
-
 def linked(a: np.ndarray, b: np.ndarray, similar: tuple[int, int] = SIMILAR) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     return shared * similar[1] >= similar[0] * (len(a) + len(b) - shared)
 
 
 def _common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that several texts of a sample hold, and how many do."""
-    texts = hash_sample(docs.select("text").filter(F.col("text").isNotNull()), SAMPLE, ["text"], SEED).distinct()
+    """The shingles that several texts of a sample hold, and how many do. About SAMPLE texts, by
+    their hash, so their shingles bound what the driver gets and the tasks hold."""
+    part, total = 1 << 30, max(1, docs.count())
+    texts = docs.select("text").filter(F.pmod(F.xxhash64(F.lit(3), "text"), F.lit(part)) < part * SAMPLE // total).distinct()
 
     def cut(batches):
         for b in batches:
@@ -105,28 +99,28 @@ def _common(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(docs: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
-    """Of each row the hash of its columns, that of its words, its shingles' number and bitmap, and
-    the hashes of those in its prefix."""
+    """Of each document the hash of its words, its shingles' number and fingerprint, and the hashes
+    of those in its prefix."""
     keys, counts = _common(docs, n)
 
     def run(batches):
         for b in batches:
-            units, sizes, bits, firsts = [], [], [], []
+            units, sizes, prints, firsts = [], [], [], []
             for t in b.column("text").cast(pa.binary()).to_pylist():
                 unit, h = shingles(t, n)
                 held = np.zeros(len(h), np.int64)
                 if len(keys):
                     at = np.searchsorted(keys, h).clip(max=len(keys) - 1)
                     held = np.where(keys[at] == h, counts[at], 0)
+                own = mixed(h)
                 units.append(unit)
                 sizes.append(len(h))
-                bits.append(bitmap(h))
-                firsts.append(h[np.lexsort((mixed(h), held))[: prefix(len(h), similar)]].tobytes())
-            got = [pa.array(units, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(firsts, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *got], ["row", "doc_id", "unit", "size", "bits", "prefix"])
+                prints.append(sketch(h) + sketch(own))
+                firsts.append(h[np.lexsort((own, held))[: prefix(len(h), similar)]].tobytes())
+            got = [pa.array(x, t) for x, t in ((units, pa.binary()), (sizes, pa.int32()), (prints, pa.binary()), (firsts, pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), *got], ["doc", "words", "size", "print", "prefix"])
 
-    rows = docs.select(F.xxhash64(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(rows.mapInArrow(run, "row long, doc_id long, unit long, size int, bits binary, prefix binary"), "copies-rows")
+    return written(docs.select("doc", "text").mapInArrow(run, "doc long, words binary, size int, print binary, prefix binary"), "copies-rows")
 
 
 def _starts(runs: np.ndarray, *by: str) -> np.ndarray:
@@ -144,27 +138,33 @@ def _ends(starts: np.ndarray, n: int) -> np.ndarray:
     return np.repeat(ends[1:], np.diff(ends))
 
 
-def _possible(x: np.ndarray, y: np.ndarray, similar: tuple[int, int]) -> np.ndarray:
-    """Whether pairs of rows of a run may link, if the shingle is the first that they share."""
+def candidates(x: np.ndarray, y: np.ndarray, similar: tuple[int, int] = SIMILAR, radius: int = RADIUS) -> np.ndarray:
+    """Which pairs of rows of a run may link, if the shingle is the first that they share: by their
+    sizes, and by their fingerprints on the ring."""
     left = np.minimum(x["size"] - x["place"], y["size"] - y["place"]).astype(np.int64)
     need = least_shared(x["size"].astype(np.int64), y["size"].astype(np.int64), similar)
-    return (x["unit"] != y["unit"]) & (left >= need)
+    at = np.flatnonzero((x["unit"] != y["unit"]) & (left >= need))
+    x, y = x[at], y[at]
+    apart = np.stack([x["f0"] ^ y["f0"], x["f1"] ^ y["f1"]], 1)
+    return at[(np.minimum(x["size"], y["size"]) < FEW) | within_ring(apart, radius)]
 
 
-def _pair_batches(x: np.ndarray, y: np.ndarray):
-    u, v = np.minimum(x["unit"], y["unit"]), np.maximum(x["unit"], y["unit"])
-    pairs = np.unique(np.stack([u, v], 1), axis=0) if len(u) else np.empty((0, 2), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["u", "v"])
+def _pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The pairs of units, the smaller first, each once."""
+    out = np.empty(len(x), _PAIR)
+    out["u"], out["v"] = np.minimum(x["unit"], y["unit"]), np.maximum(x["unit"], y["unit"])
+    return np.unique(out)
 
 
 def _deal(parts: int):
     def deal(batches):
         for b in batches:
             out = []
-            for unit, size, data in zip(b.column("unit").to_pylist(), b.column("size").to_pylist(), b.column("prefix").to_pylist()):
+            for unit, size, print_, data in zip(*(b.column(c).to_pylist() for c in ("doc", "size", "print", "prefix"))):
                 h = np.frombuffer(data, np.uint64)
                 r = np.empty(len(h), _KEYED)
                 r["key"], r["unit"], r["size"], r["place"] = h, unit, size, np.arange(len(h))
+                r["f0"], r["f1"] = np.frombuffer(print_, np.uint64)
                 out.append(r)
             r = np.concatenate([np.empty(0, _KEYED), *out])
             if len(r):
@@ -173,31 +173,41 @@ def _deal(parts: int):
     return deal
 
 
-def _gather(batches):
-    """The rows of each key that several texts have, beside that of the smallest text."""
-    r = unpacked(batches, {0: _KEYED})[0]
-    r = r[np.lexsort((r["unit"], r["key"]))]
-    r = r[_starts(r, "key", "unit")]
-    starts = _starts(r, "key")
-    many = np.diff(np.append(starts, len(r)))
-    x = r[np.repeat(starts, many)]
-    r, x = r[np.repeat(many, many) > 1], x[np.repeat(many, many) > 1]
-    for at in range(0, len(r), BLOCK):
-        y, z = r[at : at + BLOCK], x[at : at + BLOCK]
-        columns = [y["key"].view(np.int64), y["unit"], y["size"], y["place"], z["unit"], z["size"], z["place"]]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["key", "unit", "size", "place", "first", "first_size", "first_place"])
-
-
-def _stars(runs: DataFrame, similar: tuple[int, int]) -> DataFrame:
-    """Pairs of each run's texts and its smallest one."""
-    left = F.least(F.col("size") - F.col("place"), F.col("first_size") - F.col("first_place"))
-    p, q = similar
-    ok = left * (p + q) >= (F.col("size").cast("long") + F.col("first_size")) * p
-    return runs.filter((F.col("unit") != F.col("first")) & ok).select(F.col("first").alias("u"), F.col("unit").alias("v")).distinct()
+def _gather(similar: tuple[int, int]):
+    """Kind 0: the rows of each key that several texts have. Kind 1: candidates among the pairs of
+    each of them and the smallest."""
+
+    def gather(batches):
+        r = unpacked(batches, {0: _KEYED})[0]
+        r = r[np.lexsort((r["unit"], r["key"]))]
+        many = np.diff(np.append(_starts(r, "key"), len(r)))
+        r = r[np.repeat(many, many) > 1]
+        starts = _starts(r, "key")
+        first = np.repeat(starts, np.diff(np.append(starts, len(r))))
+        for at in range(0, len(r), BLOCK):
+            x, y = r[first[at : at + BLOCK]], r[at : at + BLOCK]
+            ok = candidates(x, y, similar)
+            out = [(0, 0, y.tobytes())] + ([(0, 1, _pairs(x[ok], y[ok]).tobytes())] if len(ok) else [])
+            yield packed_batch(out)
+
+    return gather
+
+
+def _flat(rows: DataFrame, kind: int, dtype: np.dtype, shape: str) -> DataFrame:
+    """The packed rows of a kind as rows."""
+
+    def run(batches):
+        for b in batches:
+            for x in b.column("packed").to_pylist():
+                r = np.frombuffer(x, dtype)
+                cells = [np.ascontiguousarray(r[c]) for c in dtype.names]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in cells], list(dtype.names))
+
+    return rows.filter(F.col("kind") == kind).mapInArrow(run, shape)
 
 
 def _crossing(similar: tuple[int, int]):
-    """Pairs of a run that lie in different components."""
+    """Candidates among the pairs of a run that lie in different components."""
 
     def crossing(batches):
         r = unpacked(batches, {0: _NAMED})[0]
@@ -206,15 +216,20 @@ def _crossing(similar: tuple[int, int]):
         low, high = _ends(_starts(r, "key", "root"), n), _ends(_starts(r, "key"), n)
         many = high - low
         own, low, many = np.flatnonzero(many), low[many > 0], many[many > 0]
-        sums, at = np.cumsum(many), 0
+        sums, at, held = np.cumsum(many), 0, np.empty(0, _PAIR)
         while at < len(own):
             to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + BLOCK, "right")))
             k = many[at:to]
             x = np.repeat(own[at:to], k)
             y = np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(low[at:to], k)
-            ok = _possible(r[x], r[y], similar)
-            yield from _pair_batches(r[x[ok]], r[y[ok]])
+            ok = candidates(r[x], r[y], similar)
+            held = np.union1d(held, _pairs(r[x[ok]], r[y[ok]]))
             at = to
+            if len(held) and (len(held) > BLOCK or at >= len(own)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(held[c])) for c in ("u", "v")], ["u", "v"])
+                held = np.empty(0, _PAIR)
+        if len(held):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(held[c])) for c in ("u", "v")], ["u", "v"])
 
     return crossing
 
@@ -231,39 +246,25 @@ def _name(parts: int):
     return name
 
 
-def _beside(pairs: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
-    """pairs with the columns of both texts, of the first as a_..., of the second as b_..."""
-    for end, name in (("u", "a"), ("v", "b")):
-        pairs = pairs.join(texts.select(F.col("unit").alias(end), *[F.col(c).alias(f"{name}_{c}") for c in columns]), end)
-    return pairs
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
-    """The pairs that link: first those that their bitmaps allow, then by the sets."""
-    p, q = similar
-
-    @F.arrow_udf("int")
-    def apart(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([bits_apart(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, similar: tuple[int, int]) -> DataFrame:
+    """The pairs that link, by the sets."""
 
     def cut(batches):
         for b in batches:
-            got = [shingles(t, n) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([np.sort(g[1]).tobytes() for g in got], pa.binary())], ["unit", "hashes"])
+            got = [np.sort(shingles(t, n)[1]).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(got, pa.binary())], ["doc", "hashes"])
 
     @F.arrow_udf("boolean")
     def link(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similar) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.bool_())
 
-    both = _beside(pairs, texts, "size", "bits")
-    may = both.filter(apart("a_bits", "b_bits") * (p + q) <= (F.col("a_size").cast("long") + F.col("b_size")) * (q - p))
-    pairs = written(may.select("u", "v"), "copies-pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("unit")).distinct()
-    # dealt by the hash of all columns, so copies of a text do not meet
-    one = texts.join(ends, "unit", "left_semi").select("row")
-    held = docs.select(F.xxhash64(*docs.columns).alias("row"), "text").join(one, "row", "left_semi").dropDuplicates(["row"])
-    sets = written(held.select("text").mapInArrow(cut, "unit long, hashes binary"), "copies-sets")
-    found = written(_beside(pairs, sets, "hashes").filter(link("a_hashes", "b_hashes")).select("u", "v"), "copies-links")
+    pairs = written(pairs.distinct(), "copies-pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
+    sets = written(docs.select("doc", "text").join(ends, "doc", "left_semi").mapInArrow(cut, "doc long, hashes binary"), "copies-sets")
+    both = pairs
+    for end in ("u", "v"):
+        both = both.join(sets.select(F.col("doc").alias(end), F.col("hashes").alias(f"{end}_hashes")), end)
+    found = written(both.filter(link("u_hashes", "v_hashes")).select("u", "v"), "copies-links")
     drop_written(pairs)
     drop_written(sets)
     release(docs.sparkSession)
@@ -271,37 +272,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, texts: DataFrame, n: int, simil
 
 
 def groups(docs: DataFrame, n: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """(row, doc_id, root) of every row of docs: the hash of its columns, and the same root for all
-    rows that links join."""
+    """(doc, root) of every document of docs (doc long, distinct; text): the smallest document of
+    those that links join it to."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = _rows(docs, n, similar)
-    held = rows.select(F.sum(F.octet_length("prefix")).alias("n")).first()["n"] or 0
+    units = written(rows.groupBy("words").agg(F.min("doc").alias("unit")), "copies-units")
+    ones = rows.join(units.select(F.col("unit").alias("doc")), "doc", "left_semi").select("doc", "size", "print", "prefix")
+    held = rows.select(F.sum(F.octet_length("prefix").cast("long")).alias("n")).first()["n"] or 0
     parts = max(shuffle_partitions(spark), held // 8 // PART_ROWS + 1)
-    dealt = rows.select("unit", "size", "prefix").mapInArrow(_deal(parts), PACKED)
-    runs = written(dealt.repartition(parts, "part").mapInArrow(_gather, _RUNS), "copies-runs")
-    one = F.min(F.struct("row", "size", "bits")).alias("x")
-    texts = written(rows.groupBy("unit").agg(one).select("unit", "x.*"), "copies-texts")
-    rows = rows.select("row", "doc_id", "unit")
+    runs = written(ones.mapInArrow(_deal(parts), PACKED).repartition(parts, "part").mapInArrow(_gather(similar), PACKED), "copies-runs")
     release(spark)
-    links = _verified(_stars(runs, similar), docs, texts, n, similar)
-    named = runs.join(components(links), F.col("unit") == F.col("node"), "left").select("key", "unit", "size", "place", F.coalesce("root", "unit").alias("root"))
-    more = named.mapInArrow(_name(parts), PACKED).repartition(parts, "part").mapInArrow(_crossing(similar), _PAIRS).distinct()
-    more = _verified(more, docs, texts, n, similar)
+    links = _verified(_flat(runs, 1, _PAIR, _PAIRS), docs, n, similar)
+    flat = _flat(runs, 0, _KEYED, _RUNS)
+    named = flat.join(components(links), F.col("unit") == F.col("node"), "left").select(*_KEYED.names, F.coalesce("root", "unit").alias("root"))
+    more = named.mapInArrow(_name(parts), PACKED).repartition(parts, "part").mapInArrow(_crossing(similar), _PAIRS)
+    more = _verified(more, docs, n, similar)
     names = components(links.unionByName(more))
-    out = rows.join(names, F.col("unit") == F.col("node"), "left").select("row", "doc_id", F.coalesce("root", "unit").alias("root"))
-    out = written(out, "copies-groups")
-    for t in (rows, runs, texts, links, more):
+    whole = units.join(names, F.col("unit") == F.col("node"), "left").select("words", F.coalesce("root", "unit").alias("root"))
+    out = written(rows.select("doc", "words").join(whole, "words").select("doc", "root"), "copies-groups")
+    for t in (rows, units, runs, links, more):
         drop_written(t)
     return out
-
-
-def first_of_each(docs: DataFrame, n: int = SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
-    """docs with one row of each group: that of its smallest doc_id, and of several with it the
-    one with the smallest hash of its columns."""
-    # a null doc_id counts as the largest
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    keep = groups(docs, n, similar).groupBy("root").agg(first).select(F.col("first.row").alias("__keep")).distinct()
-    rows = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    # the join and the last step are dealt by the same key, so texts are shuffled once
-    return rows.join(keep, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]).select(*docs.columns)

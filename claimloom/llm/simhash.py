@@ -10,6 +10,10 @@ that next segment; the longer chains are checked on each joined pair, and the fu
 distance last. Rows are dealt by key as packed arrays; a part works through its pairs in
 blocks, and hands on stars of what it has joined, not the pairs.
 
+first_of_each() goes by the similarity of 5-word shingles, for which fingerprints may differ in
+far more bits than such keys can bear; near_copies brings its candidates together, filters
+them on the ring of their fingerprints, and checks them exactly.
+
 Defined cases. Null texts and texts without a word have fingerprint zero and link like
 any other. Fewer words than a shingle make one shingle of all. Equal fingerprints are
 folded to one before the join, so copies never meet as pairs; repeated rows are copies.
@@ -27,13 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, small_batches, written
+from .common import columns, numbered, shuffle_partitions, small_batches, written
 from .components import components
+from .fingerprints import SEED, sketch
+from .near_copies import SIMILAR, groups
+from .near_copies import SHINGLE as WIDE
 from .packing import PACKED, mixed, packed, packed_batch, unpacked
 
-#: Words of a shingle, differing bits of a link, and the hash seed.
-SHINGLE, DISTANCE, SEED = 4, 4, 42
-_BITS = (np.arange(256)[:, None] >> np.arange(8)) & 1
+#: Words of a shingle, and differing bits of a link.
+SHINGLE, DISTANCE = 4, 4
 
 
 def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
@@ -48,9 +54,7 @@ def fingerprint(text: bytes | None, n: int = SHINGLE) -> int:
         ends = list(accumulate(map(len, words), lambda a, b: a + 1 + b))
         starts = [0, *[e + 1 for e in ends]]
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[n - 1 :])]
-    rows = np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    counts = [np.bincount(rows[:, i], minlength=256) @ _BITS for i in range(8)]
-    return int.from_bytes(np.packbits(np.concatenate(counts) * 2 > len(rows), bitorder="little").tobytes(), "little")
+    return int.from_bytes(sketch(np.array(hashes, np.uint64)), "little")
 
 
 def simhash(text: str | Column, n: int = SHINGLE) -> Column:
@@ -174,10 +178,11 @@ def near_links(prints: DataFrame, k: int = DISTANCE, folded: bool = False) -> Da
         got = unpacked(batches, {0: _KEYED, 1: _KEYED})
         u = v = np.empty(0, np.uint64)
         for x, y in _linked(got[0], got[1], k):
-            u, v = np.concatenate([u, x]), np.concatenate([v, y])
-            if folded and len(u) > 1 << 18:
-                u, v = _stars(u, v)
-            elif not folded and len(x):
+            if folded:
+                u, v = np.concatenate([u, x]), np.concatenate([v, y])
+                if len(u) > 1 << 18:
+                    u, v = _stars(u, v)
+            elif len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["u", "v"])
         if folded and len(u):
             u, v = _stars(u, v)
@@ -187,19 +192,18 @@ def near_links(prints: DataFrame, k: int = DISTANCE, folded: bool = False) -> Da
     return dealt.repartition(parts, "part").mapInArrow(join, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, n: int = SHINGLE, k: int = DISTANCE, row: Column | None = None) -> DataFrame:
-    """(doc_id, row, fp, component_id) of every row of docs. component_id is the smallest doc_id
-    that the row reaches over links; row is what is asked for, or null."""
+def near_duplicates(docs: DataFrame, n: int = SHINGLE, k: int = DISTANCE) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of docs. component_id is the smallest doc_id that the
+    row reaches over links."""
     small_batches(docs.sparkSession)
-    row = F.lit(None).cast("long") if row is None else row
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), simhash("text", n).alias("fp")), "simhash")
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), simhash("text", n).alias("fp")), "simhash")
     prints = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-prints")
     roots = components(near_links(prints.select("fp"), k, True))
     linked = prints.join(roots, F.col("fp") == F.col("node")).select("fp", "least", "root")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "root").select(F.col("fp").alias("f2"), F.col("component_id").alias("c2"))
     names = prints.join(named, F.col("fp") == F.col("f2"), "left").select("fp", F.coalesce("c2", "least").alias("component_id"))
-    return rows.join(written(names, "simhash-names"), "fp").select("doc_id", "row", "fp", "component_id")
+    return rows.join(written(names, "simhash-names"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
@@ -207,15 +211,14 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, n: int = SHINGLE, k: int = DISTANCE) -> DataFrame:
-    """docs with one row of each component: that of its smallest doc_id, and of several with
-    it the one with the smallest hash of its columns."""
-    row = F.xxhash64(*docs.columns)
-    found = near_duplicates(docs, n, k, row)
-    # a null doc_id counts as the largest, and only where no other is there
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    group = F.when(F.col("component_id").isNull(), F.col("fp")).otherwise(F.lit(0))
-    keep = found.groupBy("component_id", group).agg(first).select(F.col("first.row").alias("__keep")).distinct()
-    rows = docs.withColumn("__row", row)
-    # the join and the last step are dealt by the same key, so texts are shuffled once
-    return rows.join(keep, F.col("__row") == F.col("__keep"), "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+def first_of_each(docs: DataFrame, n: int = WIDE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """docs with one row of each group of near copies, by the similarity of their shingles: that
+    of its smallest doc_id. Several rows with this id and text count as one document, of which
+    the row with the smallest hash of its columns stays."""
+    rows, again = numbered(docs)
+    found = groups(rows.select(F.col("__doc").alias("doc"), "text").dropDuplicates(["doc"]) if again else rows.select(F.col("__doc").alias("doc"), "text"), n, similar)
+    kept = rows.join(found.filter("doc = root").select(F.col("doc").alias("__first")), F.col("__doc") == F.col("__first"), "left_semi")
+    if again:
+        whole = F.struct(*columns(docs))
+        kept = kept.groupBy("__doc").agg(F.min_by(whole.alias("x"), F.xxhash64(F.to_json(whole))).alias("x")).select("x.*")
+    return kept.select(*columns(docs))
