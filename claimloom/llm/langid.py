@@ -3,18 +3,19 @@
 The network reads a text as UTF-8 bytes in both directions, gives every byte position
 probabilities of the languages, and a document the mean of its positions'. It is trained
 here, in numpy, by backpropagation through time with Adam, on a bounded sample of labelled
-texts. Texts of any length are read whole, in windows of WINDOW bytes whose states start
-anew; windows of all documents of an Arrow batch are run side by side.
+texts, of which windows are drawn over their whole length. Texts of any length are read
+whole, in windows that overlap: a window gives WINDOW positions, and reads MARGIN bytes more
+on either side, so every position has seen what stands around it. Windows of all documents
+of an Arrow batch are run side by side.
 
-Defined cases. A null text, or one without a letter, is `und` with score 0. Null labels
+Defined cases. A null text, or one without a letter (a character of a category L), is `und`
+with score 0. Null labels
 are not learned from. Without any labelled row every text is `und`. An empty table gives
 an empty table. Repeated rows are scored alike.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,11 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample, small_batches
 
-#: Bound on the sample of labelled rows, the bytes taken of each, and the network's sizes.
-SAMPLE, WINDOW, HIDDEN, STEPS, BATCH, RATE = 3000, 128, 8, 160, 192, 0.03
+#: Bound on the sample of labelled rows, most windows drawn of each, the positions of a window and
+#: the bytes read beside them, and the network's sizes.
+SAMPLE, DRAWN, WINDOW, MARGIN, HIDDEN, STEPS, BATCH, RATE = 3000, 8, 128, 16, 8, 200, 192, 0.03
 #: Windows that are run side by side.
 BLOCK = 2048
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def _sigmoid(x):
@@ -143,27 +148,31 @@ def loss_and_grads(x, y, mask, p) -> tuple[float, dict[str, np.ndarray]]:
 
 
 def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All bytes cut into windows: the bytes (window, time), each window's text, its length."""
+    """All bytes cut into windows that overlap: the bytes (window, time), which of them count in
+    this window, and each window's text. A text's first window has nothing before it."""
     sizes = np.array([len(t) for t in texts], np.int64)
     counts = -(-sizes // WINDOW)
-    firsts = np.concatenate([[0], np.cumsum(counts)])
-    flat = np.zeros(int(firsts[-1]) * WINDOW, np.uint8)
-    for t, at in zip(texts, firsts * WINDOW):
-        flat[at : at + len(t)] = np.frombuffer(t, np.uint8)
     owner = np.repeat(np.arange(len(texts)), counts)
-    lengths = np.minimum(WINDOW, sizes[owner] - (np.arange(len(owner)) - firsts[owner]) * WINDOW)
-    return flat.reshape(-1, WINDOW), owner, lengths
+    at = (np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)) * WINDOW
+    start, left = np.maximum(at - MARGIN, 0), sizes[owner]
+    place = start[:, None] + np.arange(WINDOW + 2 * MARGIN)
+    flat = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
+    inside = place < left[:, None]
+    x = np.where(inside, flat[np.where(inside, (np.cumsum(sizes) - sizes)[owner][:, None] + place, 0)], 0).astype(np.uint8)
+    return x, inside & (place >= at[:, None]) & (place < at[:, None] + WINDOW), owner
 
 
 def train(samples: list[tuple[bytes, str]], seed: int = 1, hidden: int = HIDDEN, steps: int = STEPS) -> dict:
-    """A model from (text, language) pairs: parameters and the languages' names."""
+    """A model from (window of a text, language) pairs: parameters and the languages' names."""
     langs = sorted({lang for t, lang in samples if t})
     if not langs:
         return {"langs": [], "p": {}}
     p = init(len(langs), hidden, seed)
-    cut, owner, lengths = windows([t for t, _ in samples])
     names = {lang: i for i, lang in enumerate(langs)}
-    y = np.array([names[samples[i][1]] for i in owner])
+    cut, y = np.zeros((len(samples), WINDOW), np.uint8), np.array([names.get(lang, 0) for _, lang in samples])
+    lengths = np.array([min(len(t), WINDOW) for t, _ in samples])
+    for row, (t, _) in zip(cut, samples):
+        row[: min(len(t), WINDOW)] = np.frombuffer(t[:WINDOW], np.uint8)
     r = np.random.default_rng(seed)
     m1, m2 = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
     for step in range(1, steps + 1):
@@ -184,11 +193,11 @@ def train(samples: list[tuple[bytes, str]], seed: int = 1, hidden: int = HIDDEN,
 def pooled(texts: list[bytes], model: dict) -> np.ndarray:
     """Probabilities of the languages for each text: the mean over its positions."""
     out = np.zeros((len(texts), len(model["langs"])))
-    cut, owner, lengths = windows(texts)
+    cut, counts, owner = windows(texts)
     for a in range(0, len(cut), BLOCK):
         x = np.ascontiguousarray(cut[a : a + BLOCK].T)
         prob = softmax(logits(x, model["p"]))
-        prob *= (np.arange(WINDOW)[:, None] < lengths[None, a : a + BLOCK])[..., None]
+        prob *= counts[a : a + BLOCK].T[..., None]
         np.add.at(out, owner[a : a + BLOCK], prob.sum(0))
     return out / np.maximum([[len(t)] for t in texts], 1) if len(texts) else out
 
@@ -197,7 +206,7 @@ def predict(texts: list[str | None], model: dict) -> list[tuple[str, float]]:
     """(language, probability) of each text."""
     if not model["langs"]:
         return [("und", 0.0)] * len(texts)
-    read = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)]
+    read = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
     out = [("und", 0.0)] * len(texts)
     for i, p in zip(read, pooled([texts[i].encode() for i in read], model) if read else []):
         best = int(p.argmax())
@@ -206,14 +215,17 @@ def predict(texts: list[str | None], model: dict) -> list[tuple[str, float]]:
 
 
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", order: str = "doc_id", sample: int = SAMPLE) -> dict:
-    """Train on `sample` rows of those that `learn` allows, the first by a hash of `order`.
-    Of each, a window of bytes that its hash places takes part."""
+    """Train on `sample` rows of those that `learn` allows, the first by a hash of `order`. Of each,
+    up to DRAWN windows take part, at places that its hash draws over the whole text."""
     small_batches(docs.sparkSession)
-    rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    place = F.pmod(F.xxhash64(order, F.lit(12)), F.greatest(F.length(text) - WINDOW, F.lit(1))).cast("int") + 1
-    picked = rows.select(F.col(order).alias("o"), F.substring(text, place, F.lit(WINDOW)).alias("t"), F.col(lang).alias("l"))
-    got = hash_sample(picked, sample, ["o", "t"], 11).collect()  # with the text, as many rows may share an id
-    return train([(r["t"].encode()[:WINDOW], r["l"]) for r in got if _LETTER.search(r["t"])])
+    data = F.col(text).cast("binary")
+    rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    many = F.least(F.lit(DRAWN), F.ceil(F.octet_length(data) / WINDOW)).cast("int")
+    place = lambda i: (F.pmod(F.xxhash64(F.lit(12), i, order, text), F.greatest(F.octet_length(data) - WINDOW, F.lit(0)) + 1) + 1).cast("int")
+    drawn = F.transform(F.sequence(F.lit(1), many), lambda i: F.substring(data, place(i), F.lit(WINDOW)))
+    picked = rows.select(F.col(order).alias("o"), F.xxhash64(text).alias("h"), drawn.alias("t"), F.col(lang).alias("l"))
+    got = hash_sample(picked, sample, ["o", "h"], 11).collect()  # with the text, as many rows may share an id
+    return train([(bytes(t), r["l"]) for r in got for t in r["t"]])
 
 
 def identify(text: str | Column, model: dict) -> Column:

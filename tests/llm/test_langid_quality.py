@@ -103,3 +103,42 @@ def test_quality(spark, docs, no_docs, some):
     assert quality.quality_report(no_docs, labels).count() == 0
     ones = spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int")
     assert min(r["score"] for r in quality.quality_report(docs, ones).collect()) > 0.5
+
+
+def test_letters_are_those_of_the_categories():
+    m = langid.train([(b"the river", "en")] * 20, steps=2)
+    assert langid.predict(["\u00bd \u00bd", "\u00b2 \u216b", "12 _"], m) == [("und", 0.0)] * 3
+    assert [x[0] for x in langid.predict(["\u02b0", "\u00aa 1", "\u6c34"], m)] == ["en"] * 3
+
+
+def test_every_position_counts_once_and_has_seen_its_surroundings():
+    texts = [bytes(range(1, 256)) * 4, b"", b"ab", bytes(128), b"x" * 129]
+    x, counts, owner = langid.windows(texts)
+    assert [int(counts[owner == i].sum()) for i in range(5)] == [len(t) for t in texts]
+    assert b"".join(x[i][counts[i]].tobytes() for i in np.flatnonzero(owner == 0)) == texts[0]
+    for row, c in zip(x[owner == 0][1:-1], counts[owner == 0][1:-1]):
+        assert c.argmax() == langid.MARGIN and c[::-1].argmax() == langid.MARGIN
+
+
+def test_windows_are_drawn_over_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda samples: seen.extend(samples) or {"langs": [], "p": {}})
+    text = "".join(chr(65 + i % 26) * 128 for i in range(26 * 4))
+    df = spark.createDataFrame([(i, text, "en") for i in range(60)] + [(99, "abc", "fr")], "doc_id long, text string, lang string")
+    langid.fit(df, F.lit(True))
+    assert {t[:1] for t, lang in seen if lang == "en"} == {chr(65 + i).encode() for i in range(26)} and (b"abc", "fr") in seen
+    assert len(seen) == 60 * langid.DRAWN + 1
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    import os
+
+    import pytest
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(path)
+    rows = langid.language_report(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").filter("lang is not null and lang_pred <> 'und'")
+    right, n = rows.filter("lang = lang_pred").count(), rows.count()
+    assert n > 150 and right >= 0.97 * n
