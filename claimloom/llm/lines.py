@@ -7,10 +7,15 @@ each class the first line of the corpus stays, by document and place in it.
 A line is cut into k + 1 segments. If k edits make it another, one segment is untouched and
 stands in the other at a shift that its number and the lines' lengths bound. So every line
 puts its segments in an index under their length and number, and probes it with its own
-substrings at the shifts allowed, for all lengths from its own down to k less. Pairs that meet
-must agree in a signature of their characters' parities up to two bits an edit, and are then
-verified by an edit distance whose band of 2 k + 1 diagonals is kept in the bits of a word,
-for many pairs at once.
+substrings at the shifts allowed, for all lengths from its own down to k less.
+
+First only hashes meet. The lines of keys that have an index and a probe row of different
+lines bring their texts, and pairs are verified where they meet: they must agree in a
+signature of their characters' parities up to two bits an edit, and then by an edit distance
+whose band of 2 k + 1 diagonals is kept in the bits of a word, for many pairs at once. A pair
+counts at the first segment at which it meets, so links are counted without being written
+down; what a block of lines has joined is handed on as stars. A key of over SIDE lines is cut
+into blocks of lines, each pair of which is a task's work.
 
 Equal lines are folded within each batch and then by 128-bit hash before they are joined, so
 a line that comes a million times is indexed once a batch. Rows travel as packed arrays.
@@ -28,19 +33,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, release, shuffle_partitions, small_batches, written
+from .common import columns, drop_written, numbered, release, shuffle_partitions, small_batches, written
 from .components import components
 from .packing import PACKED, mixed, packed, packed_batch, unpacked
+from .simhash import stars
 from .suffix_dedup import _prefixes
 
 #: Edits of a link; least characters of a line that can have one; characters worked on at once.
 EDITS, LEAST, BLOCK = 2, 20, 1 << 20
 #: Bytes of text that make up a part; characters that are cut into lines at once; cells of the
-#: matrices in which pairs are verified at once.
-PART_BYTES, CUT, CELLS = 16_000_000, 1 << 22, 1 << 20
+#: matrices in which pairs are verified at once; lines of a key's block; rows, and pairs, met at once.
+PART_BYTES, CUT, CELLS, SIDE, ROWS, PAIRS = 16_000_000, 1 << 22, 1 << 20, 2048, 8192, 1 << 18
 _LINE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("line", "<i4")])
-_KEY = np.dtype([("key", "<u8"), ("id", "<u8"), ("sig", "<u8")])
-_PAIR = np.dtype([("u", "<i8"), ("v", "<i8")])
+_KEY = np.dtype([("key", "<u8"), ("a", "<u8"), ("b", "<u8")])
+_MET = np.dtype([("key", "<u8"), ("a", "<u8"), ("b", "<u8"), ("probes", "<i4"), ("block", "<i4"), ("other", "<i4")])
 
 
 def segment(length: np.ndarray, i: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,11 +69,12 @@ def signatures(codes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.reshape(n, 64).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
 
 
-def keys(lines: list[str], ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index rows and probe rows of distinct lines, each with the line's id and signature."""
-    index, probe = [], []
+def line_keys(lines: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of lines of more than k characters: a row's k + 1 index keys, and its probe keys, in
+    the order of probes()."""
     length = np.array([len(x) for x in lines], np.int64)
     ends = np.cumsum(length)
+    index, probe = np.empty((len(lines), k + 1), np.uint64), np.empty((len(lines), len(probes(k))), np.uint64)
     cuts = np.searchsorted(ends, np.arange(BLOCK, (ends[-1] if len(ends) else 0) + BLOCK, BLOCK), "right")
     for a, b in zip([0, *cuts], [*cuts, len(lines)]):
         if a >= b:
@@ -75,55 +82,101 @@ def keys(lines: list[str], ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
         size = length[a:b]
         codes = np.frombuffer("".join(lines[a:b]).encode("utf-32-le", "surrogatepass"), "<u4")
         first = np.cumsum(size) - size
-        sig = signatures(codes, np.repeat(np.arange(b - a), size), b - a)
         p, q = _prefixes(codes)
 
-        def put(out, start, n, tag):
-            row = np.empty(len(size), _KEY)
-            row["key"] = mixed((p[start + n] - p[start]) * q[start] + tag)
-            row["id"], row["sig"] = ids[a:b], sig
-            out.append(row)
+        def hashed(start, n, tag):
+            return mixed((p[start + n] - p[start]) * q[start] + tag)
 
         for i in range(k + 1):
             start, n = segment(size, i, k)
-            put(index, first + start, n, (size * (k + 1) + i).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-            for delta in range(k + 1):
-                start, n = segment(size - delta, i, k)
-                tag = ((size - delta) * (k + 1) + i).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-                for shift in shifts(i, delta, k):
-                    put(probe, first + start + shift, n, tag)
-    empty = np.empty(0, _KEY)
-    return np.concatenate([empty, *index]), np.concatenate([empty, *probe])
-
-
-def _distinct(rows: np.ndarray) -> np.ndarray:
-    """Rows by key and id, each once."""
-    rows = rows[np.lexsort((rows["id"], rows["key"]))]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["id"][1:] != rows["id"][:-1])
-    return rows[new]
-
-
-def meet(index: np.ndarray, probe: np.ndarray, k: int, block: int = 1 << 18) -> np.ndarray:
-    """Pairs of different lines that share a key and pass the signature, each once."""
-    index = _distinct(index)
-    probe = _distinct(probe[np.isin(probe["key"], index["key"])])
-    low = np.searchsorted(index["key"], probe["key"], "left")
-    many = np.searchsorted(index["key"], probe["key"], "right") - low
-    out, sums, at = [np.empty(0, _PAIR)], np.cumsum(many), 0
-    while at < len(probe):
-        to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + block, "right")))
-        n = many[at:to]
-        own = np.repeat(np.arange(at, to), n)
-        other = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + low[own]
-        ok = np.bitwise_count(probe["sig"][own] ^ index["sig"][other]) <= 2 * k
-        u, v = probe["id"][own[ok]], index["id"][other[ok]]
-        u, v = u[u != v].view(np.int64), v[u != v].view(np.int64)
-        pairs = np.empty(len(u), _PAIR)
-        pairs["u"], pairs["v"] = np.minimum(u, v), np.maximum(u, v)
-        out.append(np.unique(pairs))
-        at = to
-    return np.unique(np.concatenate(out))
+            index[a:b, i] = hashed(first + start, n, (size * (k + 1) + i).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        for column, (delta, i, shift) in enumerate(probes(k)):
+            start, n = segment(size - delta, i, k)
+            tag = ((size - delta) * (k + 1) + i).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            probe[a:b, column] = hashed(first + start + shift, n, tag)
+    return index, probe
+
+
+def probes(k: int) -> list[tuple[int, int, int]]:
+    """Of each probe key how much shorter the other line is, the segment, and the shift."""
+    return [(delta, i, shift) for delta in range(k + 1) for i in range(k + 1) for shift in shifts(i, delta, k)]
+
+
+def met(index: np.ndarray, probe: np.ndarray, side: int = SIDE) -> np.ndarray:
+    """The rows of keys that an index row and a probe row of different lines have, in blocks of
+    `side` lines: each block of the index beside each of the probes."""
+    rows = np.zeros(len(index) + len(probe), _MET)
+    for c in _KEY.names:
+        rows[c] = np.concatenate([index[c], probe[c]])
+    rows["probes"][len(index) :] = 1
+    if not len(rows):
+        return rows
+    rows = rows[np.argsort(rows["key"], kind="stable")]
+    first = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+    several = np.zeros(len(first), bool)  # most keys are of one line, which meets itself
+    for c in ("a", "b"):
+        several |= np.minimum.reduceat(rows[c], first) != np.maximum.reduceat(rows[c], first)
+    rows = np.unique(rows[np.repeat(several, np.diff(np.append(first, len(rows))))])
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows["b"], rows["a"], rows["probes"], rows["key"]))]
+    first = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
+    size = np.diff(np.append(first, len(rows)))
+    asks = np.add.reduceat(rows["probes"], first)
+    use = (asks > 0) & (asks < size)
+    n_probe, n_index = np.repeat(asks, size), np.repeat(size - asks, size)
+    place = np.arange(len(rows)) - np.repeat(first, size)
+    rows["block"] = np.where(rows["probes"] == 1, place - n_index, place) // side
+    others = -(-np.where(rows["probes"] == 1, n_index, n_probe) // side)
+    keep = np.repeat(use, size)
+    rows, others = rows[keep], others[keep]
+    out = np.repeat(rows, others)
+    out["other"] = np.arange(len(out)) - np.repeat(np.cumsum(others) - others, others)
+    asking = out["probes"] == 1  # block: of the index; other: of the probes
+    out["block"][asking], out["other"][asking] = out["other"][asking].copy(), out["block"][asking].copy()
+    return out
+
+
+def links(group: np.ndarray, key: np.ndarray, asks: np.ndarray, ids: np.ndarray, lines: list[str], k: int):
+    """Yields the links (ids u, ids v) between lines of rows that met in a group, by its key and at no
+    earlier segment. asks: which rows are probes; ids: of the lines."""
+    one, first, at = np.unique(ids, return_index=True, return_inverse=True)
+    texts = [lines[i] for i in first]
+    size = np.array([len(x) for x in texts])
+    index, probe = line_keys(texts, k)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    sig = signatures(codes, np.repeat(np.arange(len(texts)), size), len(texts))
+    order = np.argsort(group, kind="stable")
+    group, key, asks, at = group[order], key[order], asks[order], at[order]
+    own = np.flatnonzero(asks)
+    have = np.flatnonzero(~asks)
+    low = np.searchsorted(group[have], group[own], "left")
+    many = np.searchsorted(group[have], group[own], "right") - low
+    columns_, sums, done = probes(k), np.cumsum(many), 0
+    while done < len(own):
+        to = max(done + 1, int(np.searchsorted(sums, (sums[done - 1] if done else 0) + PAIRS, "right")))
+        n = many[done:to]
+        p = np.repeat(own[done:to], n)
+        o = have[np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[done:to], n)]
+        x, y = at[p], at[o]
+        delta = size[x] - size[y]
+        ok = (x != y) & (delta >= 0) & (delta <= k) & ((delta > 0) | (one[x] < one[y])) & (np.bitwise_count(sig[x] ^ sig[y]) <= 2 * k)
+        x, y, delta, here = x[ok], y[ok], delta[ok], key[p[ok]]
+        # the first segment at which these lines meet must be this one
+        earliest = np.full(len(x), k + 1)
+        for column, (d, i, _) in reversed(list(enumerate(columns_))):
+            same = (delta == d) & (probe[x, column] == index[y, i])
+            earliest[same] = np.minimum(earliest[same], i)
+        ok = (earliest <= k) & (index[y, np.minimum(earliest, k)] == here)
+        x, y = x[ok], y[ok]
+        by_size = np.argsort(-size[x], kind="stable")
+        x, y, i = x[by_size], y[by_size], 0
+        while i < len(x):
+            z = i + max(1, CELLS // (int(size[x[i]]) + k + 1))
+            near = within([texts[j] for j in x[i:z]], [texts[j] for j in y[i:z]], k)
+            yield one[x[i:z][near]], one[y[i:z][near]]
+            i = z
+        done = to
 
 
 def within(a: list[str], b: list[str], k: int) -> np.ndarray:
@@ -171,12 +224,13 @@ def within(a: list[str], b: list[str], k: int) -> np.ndarray:
     return out
 
 
-def _folded(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lines by hash and place; which have an equal one before."""
-    r = r[np.lexsort((r["line"], r["doc"], r["b"], r["a"]))]
+def _folded(r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines by hash and place; which have an equal one before; and where each stood."""
+    order = np.lexsort((r["line"], r["doc"], r["b"], r["a"]))
+    r = r[order]
     same = np.zeros(len(r), bool)
     same[1:] = (r["a"][1:] == r["a"][:-1]) & (r["b"][1:] == r["b"][:-1])
-    return r, same
+    return r, same, order
 
 
 def _cut_lines(k: int, least: int, parts: int):
@@ -191,13 +245,14 @@ def _cut_lines(k: int, least: int, parts: int):
                     rows.append((h >> 64, h & 0xFFFFFFFFFFFFFFFF, doc, i))
                     lines.append(line)
         r = np.array(rows, _LINE)
-        _, one = np.unique(r[["a", "b"]], return_index=True) if len(r) else (None, [])
-        some = [i for i in one if len(lines[i]) >= least]
-        index, probe = keys([lines[i] for i in some], r["a"][some] if some else np.empty(0, np.uint64), k)
-        r, same = _folded(r)
-        out = packed(r[~same], (r["a"][~same] % np.uint64(parts)).astype(np.int64), 0) + packed(r[same], (r["a"][same] % np.uint64(parts)).astype(np.int64), 1)
-        for kind, x in ((2, index), (3, probe)):
-            out += packed(x, (x["key"] % np.uint64(parts)).astype(np.int64), kind)
+        r, same, order = _folded(r)
+        some = [i for i, again in zip(order, same) if not again and len(lines[i]) >= least]
+        out = packed(r[~same], (r["a"][~same] % np.uint64(parts)).astype(np.int64), 0) + packed(r[same], (mixed(r["doc"][same].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), 1)
+        own = r[~same & (np.array([len(lines[i]) for i in order], np.int64) >= least)]
+        for kind, x in zip((2, 3), line_keys([lines[i] for i in some], k)):
+            rows_ = np.empty(x.size, _KEY)
+            rows_["key"], rows_["a"], rows_["b"] = x.ravel(), np.repeat(own["a"], x.shape[1]), np.repeat(own["b"], x.shape[1])
+            out += packed(rows_, (rows_["key"] % np.uint64(parts)).astype(np.int64), kind)
         return out
 
     def run(batches):
@@ -215,18 +270,13 @@ def _cut_lines(k: int, least: int, parts: int):
     return run
 
 
-def _join_part(k: int):
-    """Kind 0: first lines; 1: lines that go; 4: pairs to verify."""
-
-    def run(batches):
-        got = unpacked(batches, {0: _LINE, 1: _LINE, 2: _KEY, 3: _KEY})
-        r, same = _folded(got[0])
-        pairs = meet(got[2], got[3], k)
-        out = [(0, kind, x.tobytes()) for kind, x in ((0, r[~same]), (1, np.concatenate([got[1], r[same]])), (4, pairs)) if len(x)]
-        if out:
-            yield packed_batch(out)
-
-    return run
+def _join_part(batches):
+    """Kind 0: first lines; 1: lines with an equal one before; 4: rows of keys to look at."""
+    got = unpacked(batches, {0: _LINE, 1: _LINE, 2: _KEY, 3: _KEY})
+    r, same, _ = _folded(got[0])
+    out = [(0, kind, x.tobytes()) for kind, x in ((0, r[~same]), (1, np.concatenate([got[1], r[same]])), (4, met(got[2], got[3]))) if len(x)]
+    if out:
+        yield packed_batch(out)
 
 
 def _rows(marks: DataFrame, kind: int, dtype: np.dtype, fields: dict[str, str]) -> DataFrame:
@@ -240,20 +290,60 @@ def _rows(marks: DataFrame, kind: int, dtype: np.dtype, fields: dict[str, str])
 
 
 def _some_lines(batches):
-    """(id, line) of the lines that are asked for, of documents brought with their numbers."""
-    for b in batches:
-        ids, lines = [], []
-        for text, want in zip(b.column("text").to_pylist(), b.column("want").to_pylist()):
+    """(a, b, doc, line, text) of the lines that are asked for, of documents brought with their numbers."""
+    for batch in batches:
+        rows = []
+        for doc, text, want in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "want"))):
             cut = text.split("\n")
-            for w in want:
-                ids.append(w["id"])
-                lines.append(cut[w["line"]])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
+            rows += [(w["a"], w["b"], doc, w["line"], cut[w["line"]]) for w in want]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, kinds)], ["a", "b", "doc", "line", "text"])
+
+
+def _linked(k: int):
+    """(u, v, n) of rows that met, sorted by key and block: stars of what links join, with n null, and
+    how many links a line (u) has, with v null."""
+
+    def groups(batches):
+        """Rows of whole groups, some thousands at a time."""
+        held, count, last = [], 0, None
+        for b in batches:
+            name = np.rec.fromarrays([b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "block", "other")])
+            new = np.flatnonzero(name[1:] != name[:-1]) + 1
+            for a, z in zip([0, *new.tolist()], [*new.tolist(), b.num_rows]):
+                if z <= a:
+                    continue
+                if count >= ROWS and name[a] != last:
+                    yield pa.Table.from_batches(held)
+                    held, count = [], 0
+                last = name[a]
+                held.append(b.slice(a, z - a))
+                count += z - a
+        if held:
+            yield pa.Table.from_batches(held)
+
+    def run(batches):
+        for t in groups(batches):
+            key, probes_, ids = (t.column(c).to_numpy() for c in ("key", "probes", "id"))
+            name = np.rec.fromarrays([t.column(c).to_numpy() for c in ("key", "block", "other")])
+            group = np.cumsum(np.concatenate([[0], name[1:] != name[:-1]]))
+            u, v, n, seen = (np.empty(0, np.int64) for _ in range(4))
+            for x, y in links(group, key.view(np.uint64), probes_ == 1, ids, t.column("text").to_pylist(), k):
+                seen, back = np.unique(np.concatenate([seen, x, y]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([n, np.ones(2 * len(x), np.int64)])).astype(np.int64)
+                u, v = stars(np.concatenate([u, x]), np.concatenate([v, y]))
+            if len(seen):
+                nulls = lambda m: pa.nulls(m, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), nulls(len(u))], ["u", "v", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(seen), nulls(len(seen)), pa.array(n)], ["u", "v", "n"])
+
+    return run
 
 
-def line_classes(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs has __doc, which tells rows apart, and text. Gives the lines that go (doc, line), the
-    first ones of each distinct line (a, b, doc, line), and the links (u, v) between lines, by a."""
+def line_classes(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """docs has __doc, which tells rows apart, and text. Gives the lines that go (doc, line), each with
+    the first of its class (first_doc, first_line); and the links (doc, n_links) that the lines
+    of documents have to different lines."""
     if not 1 <= k <= 15 or least < k + 1:
         raise ValueError("k must be from 1 to 15, and least above it")
     spark = docs.sparkSession
@@ -263,56 +353,60 @@ def line_classes(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> tuple[D
     parts = max(shuffle_partitions(spark), total // PART_BYTES + 1)
     sized = rows.withColumn("bytes", F.octet_length("text").cast("long"))
     cut = sized.mapInArrow(_cut_lines(k, least, parts), PACKED)
-    marks = written(cut.repartition(parts, "part").mapInArrow(_join_part(k), PACKED), "lines-marks")
+    marks = written(cut.repartition(parts, "part").mapInArrow(_join_part, PACKED), "lines-marks")
     release(spark)
-    firsts = _rows(marks, 0, _LINE, {"a": "long", "b": "long", "doc": "long", "line": "int"})
-    gone = _rows(marks, 1, _LINE, {"doc": "long", "line": "int"})
-    pairs = written(_rows(marks, 4, _PAIR, {"u": "long", "v": "long"}).distinct(), "lines-pairs")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("a")).distinct()
-    want = firsts.join(asked, "a").groupBy("doc").agg(F.collect_list(F.struct(F.col("a").alias("id"), "line")).alias("want"))
-    want = written(want, "lines-want")  # of known size, so Spark sends it to the texts if it is small
-    texts = written(rows.join(want, "doc").select("text", "want").mapInArrow(_some_lines, "id long, line string"), "lines-texts")
-
-    @F.arrow_udf("boolean")
-    def near(x: pa.Array, y: pa.Array) -> pa.Array:
-        a, b, out = x.to_pylist(), y.to_pylist(), np.zeros(len(x), bool)
-        order, i = sorted(range(len(a)), key=lambda i: len(a[i]), reverse=True), 0
-        while i < len(order):
-            part = order[i : i + max(1, CELLS // (len(a[order[i]]) + k + 1))]
-            out[part] = within([a[j] for j in part], [b[j] for j in part], k)
-            i += len(part)
-        return pa.array(out)
-
-    left = pairs.join(texts.select(F.col("id").alias("u"), F.col("line").alias("x")), "u")
-    both = left.join(texts.select(F.col("id").alias("v"), F.col("line").alias("y")), "v")
-    links = written(both.filter(near("x", "y")).select("u", "v"), "lines-links")
-    roots = components(links)
-    nodes = firsts.join(roots, F.col("a") == F.col("node")).select("root", "doc", "line")
-    least_of = nodes.groupBy(F.col("root").alias("r")).agg(F.min(F.struct("doc", "line")).alias("m"))
-    later = nodes.join(least_of, F.col("root") == F.col("r")).filter((F.col("doc") != F.col("m.doc")) | (F.col("line") != F.col("m.line")))
-    return gone.unionByName(later.select("doc", "line")), firsts, links
+    shape = {"a": "long", "b": "long", "doc": "long", "line": "int"}
+    firsts, again = _rows(marks, 0, _LINE, shape), _rows(marks, 1, _LINE, shape)
+    looked = _rows(marks, 4, _MET, {"key": "long", "a": "long", "b": "long", "probes": "int", "block": "int", "other": "int"})
+    asked = firsts.join(looked.select("a", "b").distinct(), ["a", "b"])
+    want = written(asked.groupBy("doc").agg(F.collect_list(F.struct("a", "b", "line")).alias("want")), "lines-want")  # of known size, so Spark sends it to the texts if it is small
+    brought = rows.join(want, "doc").select("doc", "text", "want").mapInArrow(_some_lines, "a long, b long, doc long, line int, text string")
+    texts = written(brought.withColumn("id", F.monotonically_increasing_id()), "lines-texts")
+    beside = looked.join(texts.select("a", "b", "id", "text"), ["a", "b"]).select("key", "block", "other", "probes", "id", "text")
+    dealt = beside.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
+    found = written(dealt.mapInArrow(_linked(k), "u long, v long, n long"), "lines-links")
+    roots = components(found.filter("v is not null").select("u", "v"))
+    nodes = written(texts.join(roots, F.col("id") == F.col("node")).select("a", "b", "doc", "line", "root"), "lines-nodes")
+    least_of = nodes.groupBy("root").agg(F.min(F.struct("doc", "line")).alias("m"))
+    named = nodes.join(least_of, "root").select("a", "b", "doc", "line", F.col("m.doc").alias("first_doc"), F.col("m.line").alias("first_line"))
+    later = named.filter((F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line"))).select("doc", "line", "first_doc", "first_line")
+    whole = again.join(firsts.select("a", "b", F.col("doc").alias("d"), F.col("line").alias("l")), ["a", "b"])
+    whole = whole.join(named.select("a", "b", "first_doc", "first_line"), ["a", "b"], "left")
+    gone = whole.select("doc", "line", F.coalesce("first_doc", "d").alias("first_doc"), F.coalesce("first_line", "l").alias("first_line"))
+    counts = found.filter("n is not null").groupBy("u").agg(F.sum("n").alias("n"))
+    counts = texts.join(counts, F.col("id") == F.col("u")).select("a", "b", "n")
+    n_links = firsts.unionByName(again).join(counts, ["a", "b"]).groupBy("doc").agg(F.sum("n").alias("n_links"))
+    drop_written(want)
+    return gone.unionByName(later), n_links
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """One row per document: its lines, how many go, which (from 0), and the links that its
-    lines have, where it has their first copies, to different lines."""
+    """One row per document: its lines; how many go, which (from 0), and the documents and lines that
+    are the first of their classes; and the links that its lines have to different lines."""
     rows, again = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    gone, firsts, links = line_classes(rows.dropDuplicates(["__doc"]) if again else rows)
-    lost = gone.groupBy(F.col("doc").alias("__d")).agg(F.array_sort(F.collect_list("line")).alias("removed_lines"))
-    ends = links.select(F.explode(F.array("u", "v")).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
-    linked = firsts.join(ends, "a").groupBy(F.col("doc").alias("__e")).agg(F.sum("n").alias("n_links"))
+    gone, n_links = line_classes(rows.dropDuplicates(["__doc"]) if again else rows)
+    if again:
+        ids = rows.select(F.col("__doc").alias("first_doc"), F.col("doc_id").alias("first_id")).distinct()
+        gone = gone.join(ids, "first_doc")
+    else:
+        gone = gone.withColumn("first_id", F.col("first_doc"))
+    lost = gone.groupBy(F.col("doc").alias("__d")).agg(F.array_sort(F.collect_list(F.struct("line", "first_id", "first_line"))).alias("gone"))
+    linked = n_links.select(F.col("doc").alias("__e"), "n_links")
     count = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S")))
     out = rows.select("doc_id", "__doc", F.coalesce(F.when(F.col("text").isNotNull(), count), F.lit(0)).alias("n_lines"))
     out = out.join(lost, F.col("__doc") == F.col("__d"), "left").join(linked, F.col("__doc") == F.col("__e"), "left")
-    removed = F.coalesce("removed_lines", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed_lines"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    removed = lambda field, kind: F.coalesce(F.col(f"gone.{field}"), F.array().cast(f"array<{kind}>"))
+    return out.select(
+        "doc_id", "n_lines", F.size(removed("line", "int")).alias("n_removed"), removed("line", "int").alias("removed_lines"),
+        removed("first_id", "long").alias("class_docs"), removed("first_line", "int").alias("class_lines"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
 
 
 def without_repeated_lines(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> DataFrame:
     """docs with the lines that go cut out of text."""
     rows, again = numbered(docs)
-    gone, _, _ = line_classes(rows.dropDuplicates(["__doc"]) if again else rows, k, least)
+    gone, _ = line_classes(rows.dropDuplicates(["__doc"]) if again else rows, k, least)
     lost = gone.groupBy(F.col("doc").alias("__d")).agg(F.collect_list("line").alias("__gone"))
     kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return rows.join(lost, F.col("__doc") == F.col("__d"), "left").withColumn("text", text).select(*docs.columns)
+    return rows.join(lost, F.col("__doc") == F.col("__d"), "left").withColumn("text", text).select(*columns(docs))

@@ -121,7 +121,7 @@ def _linked(index: np.ndarray, probe: np.ndarray, k: int, block: int = 1 << 18):
         at = to
 
 
-def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The same components as edges u, v, each as a star around its smallest node."""
     nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b = ends[: len(u)], ends[len(u) :]
@@ -181,11 +181,11 @@ def near_links(prints: DataFrame, k: int = DISTANCE, folded: bool = False) -> Da
             if folded:
                 u, v = np.concatenate([u, x]), np.concatenate([v, y])
                 if len(u) > 1 << 18:
-                    u, v = _stars(u, v)
+                    u, v = stars(u, v)
             elif len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["u", "v"])
         if folded and len(u):
-            u, v = _stars(u, v)
+            u, v = stars(u, v)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     dealt = prints.select("fp").mapInArrow(deal, PACKED)

@@ -32,9 +32,21 @@ def test_banded_distance(pairs, k):
 def test_no_link_is_lost(k):
     r = random.Random(k)
     some = sorted({"".join(r.choice("ab") for _ in range(r.randint(k + 1, 12))) for _ in range(250)})
-    index, probe = lines.keys(some, np.arange(len(some)).astype(np.uint64), k)
-    met = set(map(tuple, lines.meet(index, probe, k, 1000).tolist()))
-    assert {(a, b) for a in range(len(some)) for b in range(a) if distance(some[a], some[b]) <= k} <= {(max(p), min(p)) for p in met}
+    n = len(some)
+    keyed = []
+    for x in lines.line_keys(some, k):
+        r = np.zeros(x.size, lines._KEY)
+        r["key"], r["a"] = x.ravel(), np.repeat(np.arange(n), x.shape[1])
+        keyed.append(r)
+    want = {(a, b) for a in range(n) for b in range(a) if distance(some[a], some[b]) <= k}
+    for side in (2048, 7):
+        rows = lines.met(*keyed, side)
+        assert len(lines.met(*keyed)) < len(keyed[0]) + len(keyed[1]) and len(want) > 50
+        _, group = np.unique(rows[["key", "block", "other"]], return_inverse=True)
+        size = np.bincount(group)
+        assert size.max() <= 2 * side
+        got = [tuple(map(int, p)) for u, v in lines.links(group, rows["key"], rows["probes"] == 1, rows["a"].astype(np.int64), [some[i] for i in rows["a"]], k) for p in zip(u, v)]
+        assert len(got) == len(set(got)) and {(max(p), min(p)) for p in got} == want  # each once
 
 
 def some_docs(seed=4, n=50):
@@ -63,12 +75,12 @@ def brute(rows, k=2, least=20):
             x = up[x]
         return x
 
-    links, long = Counter(), [x for x in first if len(x) >= least]
+    near, long = Counter(), [x for x in first if len(x) >= least]
     for i, x in enumerate(long):
         for y in long[:i]:
             if abs(len(x) - len(y)) <= k and distance(x, y) <= k:
-                links[first[x][0]] += 1
-                links[first[y][0]] += 1
+                near[x] += 1
+                near[y] += 1
                 up[top(x)] = top(y)
     least_of = {}
     for x in first:
@@ -76,7 +88,8 @@ def brute(rows, k=2, least=20):
     out = {}
     for d, t in rows:
         own = [(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip()]
-        out[d] = (len(own), [i for i, x in own if least_of[top(x)] != (d, i)], links[d])
+        lost = [(i, *least_of[top(x)]) for i, x in own if least_of[top(x)] != (d, i)]
+        out[d] = (len(own), lost, sum(near[x] for _, x in own))
     return out
 
 
@@ -84,11 +97,11 @@ def test_report(spark):
     rows = some_docs()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want = brute(rows)
-    got = {r["doc_id"]: (r["n_lines"], r["removed_lines"], r["n_links"]) for r in lines.line_report(df).collect()}
+    got = {r["doc_id"]: (r["n_lines"], list(zip(r["removed_lines"], r["class_docs"], r["class_lines"])), r["n_links"]) for r in lines.line_report(df).collect()}
     assert got == want and sum(w[2] for w in want.values()) > 10
     kept = {r["doc_id"]: r["text"] for r in lines.without_repeated_lines(df).collect()}
     for d, t in rows:
-        assert kept[d] == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d][1]))
+        assert kept[d] == (None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in [w[0] for w in want[d][1]]))
 
 
 def test_edge_tables(no_docs, docs, rows, clashing):
@@ -99,3 +112,22 @@ def test_edge_tables(no_docs, docs, rows, clashing):
     assert lines.without_repeated_lines(clashing).columns == clashing.columns
     with pytest.raises(ValueError):
         lines.line_classes(docs.withColumnRenamed("doc_id", "__doc"), 0)
+
+
+def test_a_template_line_with_very_many_variants(spark, monkeypatch):
+    """Links are counted where lines meet, and only stars of them are written."""
+    n = 3_000
+    monkeypatch.setattr(lines, "SIDE", 500)
+    df = spark.range(n).selectExpr("id as doc_id", "concat('the number that this page was given is ', lpad(cast(id as string), 4, '0')) as text")
+    names = [f"{i:04d}" for i in range(n)]
+    near = lambda i, j: sum(a != b for a, b in zip(names[i], names[j])) <= 2 or distance(names[i], names[j]) <= 2
+    got = {r["doc_id"]: (r["n_removed"], r["class_docs"], r["n_links"]) for r in lines.line_report(df.repartition(6)).collect()}
+    assert all(got[i][0] == (i > 0) and got[i][1] == ([0] if i else []) for i in range(n))
+    for i in (0, 7, 1234, n - 1):
+        assert got[i][2] == sum(near(i, j) for j in range(n) if j != i)
+
+
+def test_columns_of_any_kind_and_name(spark):
+    df = spark.createDataFrame([(1, "x\nx", {"k": 1}, 2)], "doc_id long, text string, `a map` map<string,int>, `dotted.name` int")
+    kept = lines.without_repeated_lines(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(1, "x", {"k": 1}, 2)]
