@@ -44,14 +44,14 @@ from .common import drop_written, numbered, release, shuffle_partitions, small_b
 from .packing import PACKED, by_part, mixed, packed, packed_batch, unpacked
 
 LENGTH, GRAM = 100, 32
-#: Bytes of text, and windows, that make up a part; runs of an anchor in one part; bytes that are
-#: cut into runs at once.
-PART_BYTES, PART_WINDOWS, SPLIT, BLOCK = 8_000_000, 150_000, 500, 1 << 19
+#: Bytes of text, and windows, that make up a part; windows that are sorted at once, and kept to be
+#: sent on; runs of an anchor in one part; bytes that are cut into runs at once.
+PART_BYTES, PART_WINDOWS, SORTED, SPLIT, BLOCK = 8_000_000, 600_000, 150_000, 1_000, 1 << 19
 _B = 0x9E3779B97F4A7C15
 _COUNT = np.dtype([("anchor", "<u8"), ("part", "<i4"), ("runs", "<i4")])
 _SHARED = np.dtype([("anchor", "<u8"), ("salts", "<i4")])
 _SPAN = np.dtype([("doc", "<i8"), ("start", "<i4"), ("end", "<i4")])
-_EDGE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("count", "u1"), ("again", "u1")])
+_EDGE = np.dtype([("doc", "<i8"), ("start", "<i4"), ("group", "<u4"), ("count", "u1"), ("again", "u1")])
 _BYTES = "part long, kind int, packed binary, bytes binary"
 
 
@@ -254,50 +254,97 @@ def _told(split: int):
     return run
 
 
-def _joined(edges: np.ndarray, data: np.ndarray, at: np.ndarray, dest: np.ndarray, length: int, kind: int) -> pa.RecordBatch:
-    """Runs, and their bytes, which start at `at` in data, packed by dest."""
-    order = np.argsort(dest, kind="stable")
-    edges, at, dest = edges[order], at[order], dest[order]
+def _bytes_of(edges: np.ndarray, data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The bytes of runs, which start at `at` in data, one after the other."""
     size = edges["count"].astype(np.int64) + length - 1
     ends = np.cumsum(size)
-    text = data[np.arange(ends[-1]) + np.repeat(at - ends + size, size)]
+    return data[np.arange(size.sum()) + np.repeat(at - ends + size, size)]
+
+
+def _joined(edges: np.ndarray, text: np.ndarray, key: np.ndarray, parts: int, length: int, kind: int) -> pa.RecordBatch:
+    """Runs, and their bytes, which text has one after the other, packed by part: the lower half of a
+    run's key. The upper one is its group there."""
+    size = edges["count"].astype(np.int64) + length - 1
+    at, dest = np.cumsum(size) - size, (key % np.uint64(parts)).astype(np.int64)
+    edges["group"] = key >> np.uint64(32)
+    order = np.argsort(dest, kind="stable")
+    edges, dest, size = edges[order], dest[order], size[order]
+    text = _bytes_of(edges, text, at[order], length)
     cuts = np.append(np.flatnonzero(np.concatenate([[True], dest[1:] != dest[:-1]])), len(dest))
     column = lambda offsets, x: pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(x)])
-    cells = [pa.array(dest[cuts[:-1]], pa.int64()), pa.array(np.full(len(cuts) - 1, kind, np.int32)), column(cuts * _EDGE.itemsize, edges.tobytes()), column(np.append(0, ends)[cuts], text)]
+    cells = [pa.array(dest[cuts[:-1]], pa.int64()), pa.array(np.full(len(cuts) - 1, kind, np.int32)), column(cuts * _EDGE.itemsize, edges.tobytes()), column(np.append(0, np.cumsum(size))[cuts], text)]
     return pa.RecordBatch.from_arrays(cells, ["part", "kind", "packed", "bytes"])
 
 
+class _Kept:
+    """Runs and their bytes, kept until there are enough to be sent on."""
+
+    def __init__(self, most: int):
+        self.most, self.rows, self.size = most, [], 0
+
+    def add(self, edges, text, key) -> bool:
+        self.rows.append((edges, text, key))
+        self.size += len(text)
+        return self.size >= self.most
+
+    def take(self):
+        out, self.rows, self.size = [np.concatenate(x) for x in zip(*self.rows)], [], 0
+        return out
+
+
 def _brought(length: int, gram: int, parts: int):
     """The runs of shared anchors, and their bytes, dealt by anchor."""
 
+    def found(texts, copies, shared):
+        """Of a batch of texts: the runs, their bytes, and the keys by which they are dealt."""
+        keep = [(d, t) for d, t in zip(texts.column("doc").to_pylist(), texts.column("text").cast(pa.binary()).to_pylist()) if d not in copies]
+        for cut in pieces([d for d, _ in keep], [t for _, t in keep], length) if len(shared) else ():
+            data, anchor, edges, at = runs(cut, length, gram)
+            to = np.searchsorted(shared["anchor"], anchor).clip(max=len(shared) - 1)
+            some = np.flatnonzero(shared["anchor"][to] == anchor)
+            if not len(some):
+                continue
+            edges, anchor, salts = edges[some], anchor[some], shared["salts"][to[some]].astype(np.uint64)
+            edges["again"] = salts > 1
+            own = mixed(edges["doc"].astype(np.uint64) * np.uint64(_B) + edges["start"].astype(np.uint64)) % salts
+            yield edges, _bytes_of(edges, data, at[some], length), mixed(anchor + own * np.uint64(0xC2B2AE3D27D4EB4F))
+
     def run(batches):
+        kept = _Kept(PART_BYTES)
         for _, rows in by_part(batches):
             copies, told, shared = set(), [np.empty(0, _SHARED)], None
             for kind, b in rows:
                 if kind == 0:
                     copies.update(b.column("doc").to_pylist())
-                    continue
-                if kind == 1:
+                elif kind == 1:
                     told += [np.frombuffer(x, _SHARED) for x in b.column("packed").to_pylist()]
-                    continue
-                if shared is None:
-                    shared = np.sort(np.concatenate(told), order="anchor")
-                keep = [(d, t) for d, t in zip(b.column("doc").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()) if d not in copies]
-                for cut in pieces([d for d, _ in keep], [t for _, t in keep], length) if len(shared) else ():
-                    data, anchor, edges, at = runs(cut, length, gram)
-                    to = np.searchsorted(shared["anchor"], anchor).clip(max=len(shared) - 1)
-                    some = np.flatnonzero(shared["anchor"][to] == anchor)
-                    if not len(some):
-                        continue
-                    edges, at, anchor, salts = edges[some], at[some], anchor[some], shared["salts"][to[some]].astype(np.uint64)
-                    edges["again"] = salts > 1
-                    own = mixed(edges["doc"].astype(np.uint64) * np.uint64(_B) + edges["start"].astype(np.uint64)) % salts
-                    dest = mixed(anchor + own * np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(parts)
-                    yield _joined(edges, data, at, dest.astype(np.int64), length, 0)
+                else:
+                    shared = np.sort(np.concatenate(told), order="anchor") if shared is None else shared
+                    for got in found(b, copies, shared):
+                        if kept.add(*got):
+                            yield _joined(*kept.take(), parts, length, 0)
+        if kept.rows:
+            yield _joined(*kept.take(), parts, length, 0)
 
     return run
 
 
+def sortable(edges: np.ndarray, data: np.ndarray, length: int = LENGTH, most: int = SORTED):
+    """The runs of a part, and their bytes, in lists of whole groups with about `most` windows."""
+    size = edges["count"].astype(np.int64) + length - 1
+    order = np.argsort(edges["group"], kind="stable")
+    at, edges = (np.cumsum(size) - size)[order], edges[order]
+    group = edges["group"]
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(edges) else np.zeros(0, np.int64)
+    windows = np.add.reduceat(edges["count"].astype(np.int64), first) if len(edges) else first
+    a, held = 0, 0
+    for z, n in zip([*first[1:].tolist(), len(edges)], windows.tolist()):
+        held += n
+        if held >= most or z == len(edges):
+            yield edges[a:z], _bytes_of(edges[a:z], data, at[a:z], length)
+            a, held = z, 0
+
+
 def _decided(length: int, doc_parts: int, parts: int):
     """Kind 1: spans that go. Kind 3: windows that stay here, of anchors that are in several parts."""
 
@@ -305,21 +352,27 @@ def _decided(length: int, doc_parts: int, parts: int):
         for _, rows in by_part(batches):
             got = [(x, y) for _, b in rows for x, y in zip(b.column("packed").to_pylist(), b.column("bytes").to_pylist())]
             edges, data = np.frombuffer(b"".join(x for x, _ in got), _EDGE), np.frombuffer(b"".join(y for _, y in got), np.uint8)
-            owner, at, gone = repeated(edges, data, length)
-            out = packed(spans := _spans(edges, owner, gone, length), _doc_part(spans["doc"], doc_parts), 1)
-            if out:
+            del got
+            spans, kept = [], _Kept(PART_BYTES)
+            for some, text in sortable(edges, data, length):
+                owner, at, gone = repeated(some, text, length)
+                spans.append(_spans(some, owner, gone, length))
+                left = np.flatnonzero(~gone & (some["again"][owner] > 0))
+                if len(left):
+                    count = some["count"].astype(np.int64)
+                    own, at = owner[left], at[left]
+                    alone = some[own]
+                    alone["start"] += (left - (np.cumsum(count) - count)[own]).astype(np.int32)
+                    alone["count"], alone["again"] = 1, 0
+                    sums, q = _prefixes(text)
+                    if kept.add(alone, _bytes_of(alone, text, at, length), mixed((sums[at + length] - sums[at]) * q[at])):
+                        yield _joined(*kept.take(), parts, length, 3)
+            if kept.rows:
+                yield _joined(*kept.take(), parts, length, 3)
+            gone = merged(np.concatenate(spans)) if spans else np.empty(0, _SPAN)
+            if out := packed(gone, _doc_part(gone["doc"], doc_parts), 1):
                 cells = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([*cells, pa.nulls(len(out), pa.binary())], ["part", "kind", "packed", "bytes"])
-            left = np.flatnonzero(~gone & (edges["again"][owner] > 0))
-            if len(left):
-                count = edges["count"].astype(np.int64)
-                own, at = owner[left], at[left]
-                alone = edges[own]
-                alone["start"] += (left - (np.cumsum(count) - count)[own]).astype(np.int32)
-                alone["count"], alone["again"] = 1, 0
-                sums, q = _prefixes(data)
-                key = mixed((sums[at + length] - sums[at]) * q[at])
-                yield _joined(alone, data, at, (key % np.uint64(parts)).astype(np.int64), length, 3)
 
     return run
 

@@ -79,7 +79,7 @@ def test_every_window_is_in_one_run():
         for cut in sd.pieces(docs, made, 100, block):
             data, anchors, edges, at = sd.runs(cut)
             for e, a in zip(edges.tolist(), at.tolist()):
-                doc, start, count, _ = e
+                doc, start, _, count, _ = e
                 assert data[a : a + count + 99].tobytes() == made[doc][start : start + count + 99]
                 for i in range(count):
                     assert (doc, start + i) not in seen
@@ -113,7 +113,7 @@ def test_one_anchor_with_very_many_runs(spark, monkeypatch):
     line, whole = "a line that all of these texts have, and that is far longer than the hundred bytes which make a copy of it, so", sd.repeated
 
     def bounded(edges, data, length):
-        assert edges["count"].sum() <= 3 * sd.PART_WINDOWS
+        assert edges["count"].sum() <= 2 * sd.SORTED
         return whole(edges, data, length)
 
     monkeypatch.setattr(sd, "repeated", bounded)
