@@ -10,13 +10,19 @@ one wording, into much of the corpus. What keeps common seeds cheap are bounds t
 fails. The words that an item shares with the whole text, and then those that it shares with
 the passage, bound the score from above; only what cannot reach `least` is passed over.
 
-The benchmark is sent to the executors in blocks of at most BLOCK words, each searched in
-all texts, so a benchmark of any size takes more passes and not more memory. Texts are not
-shuffled.
-
-Defined cases. Words are runs of letters, digits and underscores in lower case. Items that
-are null or have fewer words than a seed match nothing, nor do null and empty texts. An
-item or document that comes twice is reported twice. An empty table gives an empty table.
+The benchmark is read in blocks of about BLOCK words. One block is one index, which is sent to
+the executors and searched in all texts; of several, what one has found is written before
+the next one is made. So a benchmark of any size takes more passes, and driver and workers
+hold one index at a time. Texts are not shuffled unless there are several blocks and texts
+must be dropped.
+
+A copy has a seed unless at least every third word is edited, which leaves a score of 0.5 at
+most; of such, only those with three words on end unedited are found.
+
+Defined cases. Words are runs of letters, digits and underscores in lower case. Items with
+fewer words than a seed are found in texts that have the same words and no others. Items that
+are null or have no word match nothing, nor do null and empty texts. An item or document that
+comes twice is reported twice. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,13 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
+from .common import columns, numbered, small_batches, written
 
 #: Words of a seed; least share of the best score.
 SEED, LEAST = 3, 0.5
 #: Alignment scores, words beside a seed's diagonal that an alignment may use, words of a block.
-MATCH, MISMATCH, GAP, SLACK, BLOCK = 2, -1, -1, 8, 1_000_000
+MATCH, MISMATCH, GAP, SLACK, BLOCK = 2, -1, -1, 8, 200_000
 _WORD = re.compile(r"\w+")
 HIT = "array<struct<item_id:long,score:double,start:int,end:int>>"
 
@@ -76,9 +81,13 @@ class Index:
         self.n, vocabulary = n, {}
         self.items = []
         codes, owners, places = [], [], []
-        for number, (item, text) in enumerate(items):
-            ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(text)], np.int64)
+        self.short: dict[tuple, list] = {}
+        for item, text in items:
+            w = words(text)
+            ids = np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int64)
             self.items.append((item, ids))
+            if 0 < len(w) < n:
+                self.short.setdefault(tuple(w), []).append(item)
         self.vocabulary, self.base = vocabulary, len(vocabulary) + 1
         if self.base**n >= 2**63:
             raise ValueError("the block has too many words for seeds of this length")
@@ -117,8 +126,10 @@ class Index:
     def hits(self, text: str | None, least: float = LEAST) -> list[dict]:
         """The items of which the text has a copy: score, and the words from start to end."""
         ids, at, to = self.found(text)
+        whole = self.short.get(tuple(words(text)), ()) if 0 < len(ids) < self.n else ()
+        out = [{"item_id": item, "score": 1.0, "start": 0, "end": len(ids)} for item in whole]
         if not len(at):
-            return []
+            return out
         many = self.last[to] - self.first[to]
         entry = np.arange(many.sum()) + np.repeat(self.first[to] - np.cumsum(many) + many, many)
         owners, diagonals = self.owners[entry], np.repeat(at, many) - self.places[entry]
@@ -127,7 +138,6 @@ class Index:
         numbers, firsts = np.unique(owners, return_index=True)
         present = np.zeros(self.base, bool)
         present[ids] = True  # -1 is the last one, which no item has
-        out = []
         for number, first, last in zip(numbers.tolist(), firsts, np.append(firsts[1:], len(owners))):
             item, own = self.items[number]
             if present[own].sum() < least * len(own):
@@ -165,13 +175,6 @@ def _blocks(items: DataFrame, size: int):
         yield block
 
 
-def indexes(docs: DataFrame, benchmark: DataFrame, n: int = SEED, block: int = BLOCK) -> list:
-    """An index of each block of the benchmark. Tasks get them with their code, which Spark
-    broadcasts if it is large."""
-    small_batches(docs.sparkSession)
-    return [Index(items, n) for items in _blocks(benchmark, block)]
-
-
 def _searched(index: Index, least: float):
     """The UDF that gives the items of this index that a text holds."""
 
@@ -183,20 +186,36 @@ def _searched(index: Index, least: float):
     return run
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, **params) -> DataFrame:
-    """docs with the column __hits: the benchmark items that each text holds."""
-    got = [_searched(index, least)("text") for index in indexes(docs, benchmark, **params)]
-    return docs.withColumn("__hits", F.concat(F.array().cast(HIT), *got))
-
-
-def contamination_report(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, key: list[str], least: float = LEAST, n: int = SEED, block: int = BLOCK) -> tuple[DataFrame, bool]:
+    """(key, hits): the rows of docs that hold items, and these; a row for each block of the benchmark
+    that has some. And whether there were several blocks, whose rows are written by now."""
+    small_batches(docs.sparkSession)
+    search = lambda items: docs.select(*key, _searched(Index(items, n), least)("text").alias("hits")).filter(F.size("hits") > 0)
+    blocks = _blocks(benchmark, block)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return search(first), False
+    out = written(search(first), "decontam-hits")
+    while second is not None:
+        out, second = out.unionByName(written(search(second), "decontam-hits")), next(blocks, None)
+    return out, True
+
+
+def contamination_report(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, **params) -> DataFrame:
     """A row for each document and benchmark item that it holds a copy of: the score, from 0
     to 1, and the words of the copy."""
-    found = with_hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, least)
-    rows = found.select("doc_id", F.explode("__hits").alias("h"))
+    found, _ = hits(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ["doc_id"], least, **params)
+    rows = found.select("doc_id", F.explode("hits").alias("h"))
     return rows.select("doc_id", F.col("h.item_id").alias("item_id"), F.col("h.score").alias("score"), F.col("h.start").alias("start_word"), F.col("h.end").alias("end_word"))
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, n: int = SEED, block: int = BLOCK) -> DataFrame:
     """The rows of docs that hold no copy of a benchmark item."""
-    return with_hits(docs, benchmark, least).filter(F.size("__hits") == 0).drop("__hits")
+    small_batches(docs.sparkSession)
+    blocks = _blocks(benchmark, block)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return docs.withColumn("__hits", _searched(Index(first, n), least)("text")).filter(F.size("__hits") == 0).select(*columns(docs))
+    rows, _ = numbered(docs)
+    found, _ = hits(rows, benchmark, ["__doc"], least, n, block)
+    return rows.join(found.select("__doc").distinct(), "__doc", "left_anti").select(*columns(docs))

@@ -50,6 +50,87 @@ def op10_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_shard": op1_shard, "op2_langid": op2_langid, "op3_simhash": op3_simhash, "op4_lines": op4_lines, "op5_topk": op5_topk, "op6_quality": op6_quality, "op7_suffix": op7_suffix, "op8_decontaminate": op8_decontaminate, "op9_mix": op9_mix, "op10_revisits": op10_revisits}
 ORACLE: dict[str, str] = {
+    "op4_lines": r"""
+with recursive l as (
+  select doc_id, i - 1 as line, parts[i] as x
+  from (select doc_id, string_split(text, chr(10)) as parts from documents where text is not null), unnest(range(1, len(parts) + 1)) t(i)
+), real as (
+  select * from l where regexp_matches(x, '\S')
+), kind as (
+  select x, min(struct_pack(d := doc_id, n := line)) as first, row_number() over (order by min(struct_pack(d := doc_id, n := line))) as id, len(x) as size
+  from real group by x
+), link as (
+  select a.id as u, b.id as v from kind a join kind b on a.id <> b.id and abs(a.size - b.size) <= 2
+  where a.size >= 20 and b.size >= 20 and levenshtein(a.x, b.x) <= 2
+), reach as (
+  select id as u, id as v from kind where id in (select u from link)
+  union
+  select reach.u, link.v from reach join link on reach.v = link.u
+), root as (
+  select u as id, min(v) as root from reach group by u
+), many as (
+  select u as id, count(*) as n from link group by u
+), class as (
+  select k.x, coalesce(m.n, 0) as n, f.first from kind k left join many m using (id) left join root r using (id) join kind f on f.id = coalesce(r.root, k.id)
+), judged as (
+  select real.doc_id, real.line, class.n, class.first, class.first.d = real.doc_id and class.first.n = real.line as stays from real join class using (x)
+), found as (
+  select doc_id, count(*) as n_lines, sum(n) as n_links,
+    coalesce(list(line order by line) filter (not stays), []) as lost, coalesce(list(first.d order by line) filter (not stays), []) as docs, coalesce(list(first.n order by line) filter (not stays), []) as heads
+  from judged group by doc_id
+)
+select d.doc_id, coalesce(n_lines, 0)::int as n_lines, coalesce(len(lost), 0)::int as n_removed, coalesce(lost, [])::int[] as removed_lines,
+  coalesce(docs, [])::bigint[] as class_docs, coalesce(heads, [])::int[] as class_lines, coalesce(n_links, 0)::bigint as n_links
+from documents d left join found using (doc_id)
+""",
+    "op7_suffix": """
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, '')))::bigint as n from documents
+), w as (
+  select doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) as s from d, unnest(range(0, n - 99)) t(i)
+), gone as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) as k from w) where k > 1
+), new as (
+  select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as starts from gone
+), numbered as (
+  select doc_id, i, sum(starts) over (partition by doc_id order by i) as span from new
+), spans as (
+  select doc_id, min(i) as a, max(i) + 100 as b from numbered group by doc_id, span
+), gaps as (
+  select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) as p from spans
+), lost as (
+  select g.doc_id, sum(b - a)::bigint as n_removed, count(*) as n_spans, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) as kept
+  from gaps g join d using (doc_id) group by g.doc_id
+)
+select d.doc_id, d.n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join lost using (doc_id)
+""",
+    "op9_mix": r"""
+with d as (
+  select doc_id, source, md5(concat_ws(':', '7', doc_id::varchar, md5(text))) as place, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents
+), sources as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source is null, source) - 1 as k from d group by source
+), weighed as (
+  select *, case k % 3 when 0 then 3.0::double when 1 then 1.0::double else 2.0::double end as weight, 2.0::double * source_size as cap from sources
+), filled as (
+  select *, coalesce(sum(cap) over (order by cap / weight, k rows between unbounded preceding and 1 preceding), 0) as capped,
+    sum(weight) over (order by cap / weight, k rows between current row and unbounded following) as free, 1.5::double * (select sum(source_size) from sources) as total
+  from weighed where source_size > 0
+), level as (
+  select max((total - capped) / free) as level from filled
+), goals as (
+  select source, source_size, case when source_size > 0 then least(cap, weight * level) else 0 end as target from weighed, level
+), queue as (
+  select d.*, g.source_size, g.target, sum(size) over (partition by d.source order by place, doc_id) as sent from d join goals g on d.source is not distinct from g.source
+), entries as (
+  select doc_id, size, source, sent, e, (sent + e * source_size)::double / target as finish from queue, range(0, 2) t(e) where size > 0 and target > 0
+), served as (
+  select *, sum(size) over (order by finish, source nulls first, sent, e rows unbounded preceding) as so_far from entries
+), taken as (
+  select doc_id, count(*) as n from served where so_far <= 1.5 * (select sum(source_size) from sources) group by doc_id
+)
+select q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(t.n, 0))::bigint as taken from queue q left join taken t using (doc_id)
+""",
     "op5_topk": """
 with v as (
   select vec_id::bigint as vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v

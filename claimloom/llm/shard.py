@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_bytes
+from .common import n_bytes, written
 
 #: Rows that one slot-numbering task is meant to hold.
 ROWS_PER_BUCKET = 100_000
@@ -89,7 +89,7 @@ def shard_report(docs: DataFrame, n_shards: int) -> DataFrame:
         (n_bytes("text") + 16).alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).cast("long").alias("text_crc32"),
     )
-    keys = ["doc_id", "size", "text_crc32"]
+    keys, rows = ["doc_id", "size", "text_crc32"], written(rows, "shard-rows")  # so texts are read once
     dealt = assign_shards(assign_shards(rows, "doc_id", n_shards), "doc_id", n_shards + 1, "grown_shard")
-    out = with_slots(dealt, "shard", [*keys, "grown_shard"], docs.count())
+    out = with_slots(dealt, "shard", [*keys, "grown_shard"], rows.count())
     return out.select(*keys, F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -10,7 +10,8 @@ query, those that cannot reach its k-th best score so far. All arithmetic on sco
 exact; bounds get a margin for rounding, so nothing that could count is left out.
 
 Pivots and annuli are fitted on a bounded sample; every vector is in the index. Queries are
-taken in blocks of at most QUERIES, each one pass over the index.
+taken in blocks of about QUERIES, each one pass over the index. What a block has found is
+written before the next one is read, so the driver holds one block, whatever their number.
 
 Defined cases. Vectors that are null or hold a null or a component that is not finite take
 no part. Shorter vectors count as padded with zeros. Equal rows are one; rows with the id of
@@ -193,15 +194,24 @@ def top_k(table: DataFrame, ident: str, vector: str, asks: Column, k: int = 5, s
 
         return index.mapInArrow(visit, "query_id long, n long, vec_id long, score long")
 
-    asked = written(rows.filter("asks").select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(facts[4] // QUERIES + 1)).alias("block")), "topk-queries")
-    out = None
-    for block in range(facts[4] // QUERIES + 1):
+    blocks = facts[4] // QUERIES + 1
+    asked = written(rows.filter("asks").select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block")), "topk-queries")
+    done = []
+    for block in range(blocks):
         got = asked.filter(F.col("block") == block).orderBy("id", "v").collect()
         if got:
-            one = found(*arrays(got)).withColumn("block", F.lit(block))
-            out = one if out is None else out.unionByName(one)
-    rank = F.row_number().over(Window.partitionBy("block", "n").orderBy(F.desc("score"), "vec_id"))
-    return out.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            one = best_of(found(*arrays(got)), k)
+            done.append(written(one, "topk-found") if blocks > 1 else one)
+    out = done[0]
+    for one in done[1:]:
+        out = out.unionByName(one)
+    return out
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query (n) of a block, of what the parts of the index have found."""
+    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "vec_id"))
+    return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k_report(embeddings: DataFrame) -> DataFrame:

@@ -5,16 +5,18 @@ what it had sent before still holds. The revisit is joined, as of its date, to t
 earlier full response for the same canonical URL. If their validators agree, the payload is
 that response's, and its headers are the response's with those that a 304 may renew.
 
-Captures of a URL are dealt to ranges of time. Each range's latest response is folded, carried
-on to the later ranges of the URL, and met there by the captures of the range, so a URL with a
-third of all captures is many tasks. Payloads are not shuffled; they are joined by record id
-by who needs them.
+Captures are dealt to ranges of time of about as many captures each, whatever their dates are.
+Each range's latest response of a URL is folded, carried on to the later ranges of the URL,
+and met there by the captures of the range, so a URL with a third of all captures is many
+tasks. Payloads are not shuffled; they are joined by record id by who needs them.
 
 Defined cases. Strictly earlier counts: a response of the same second is not found. Of several
 responses of one second the one with the largest record id is the latest. ETags are compared
 weakly; without an ETag on both sides Last-Modified decides; without either on both sides the
 revisit is `unvalidated`, and resolved. Null URLs and dates resolve to nothing (`missing`).
-Repeated rows are resolved alike. An empty table gives an empty table.
+Names of header fields are taken in lower case; of a field that comes twice the last one counts.
+A response without a record id gives headers and no payload; of several with one id, the payload
+with the least SHA-256. Repeated rows are resolved alike. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import small_batches, written
+
 NOT_MODIFIED = "http://netpreserve.org/warc/1.0/revisit/server-not-modified"
 #: The fields of a 304 that renew those of the stored response (RFC 9110, 15.4.5).
 RENEWED = ["cache-control", "content-location", "date", "etag", "expires", "vary"]
@@ -58,20 +62,24 @@ def _agree(mine: Column, theirs: Column) -> Column:
     return weak(mine) == weak(theirs)
 
 
+def lower_names(headers: str) -> Column:
+    """A map of header fields with their names in lower case, the last one of each."""
+    named = F.transform(F.map_entries(headers), lambda x: F.struct(F.lower(x["key"]).alias("key"), x["value"].alias("value")))
+    later = lambda x, i: F.exists(F.slice(named, i + 2, F.greatest(F.size(named), F.lit(1))), lambda y: y["key"] == x["key"])
+    return F.map_from_entries(F.filter(named, lambda x, i: ~later(x, i)))
+
+
 def resolve_revisits(records: DataFrame, rows: int | None = None) -> DataFrame:
     """The revisits of records (record_id, type, uri, date, status, headers) with url_key, outcome
     (resolved, unvalidated, mismatch, missing), response_id, response_date and merged headers."""
-    facts = records.agg(F.count("*"), F.min("date"), F.max("date")).first()
-    rows = facts[0] if rows is None else rows
-    ranges = max(1, rows // ROWS_PER_RANGE)
-    seconds = lambda c: F.unix_timestamp(c).cast("long")
-    span = (facts[2] - facts[1]).total_seconds() if facts[1] is not None else 0
-    width = max(1, int(span / ranges) + 1)
+    rows = records.count() if rows is None else rows
     keyed = records.filter((F.col("type") == "revisit") | ((F.col("type") == "response") & (F.col("status") == 200))).select(
-        "record_id", (F.col("type") == "revisit").alias("asks"), canonical("uri").alias("url_key"), "date", "headers",
+        "record_id", (F.col("type") == "revisit").alias("asks"), canonical("uri").alias("url_key"), "date", lower_names("headers").alias("headers"),
     )
     keyed = keyed.filter(F.col("asks") | (F.col("url_key").isNotNull() & F.col("date").isNotNull()))
-    keyed = keyed.withColumn("range", F.floor(seconds(F.col("date")) / width))
+    # a response comes after the revisits of its own second
+    order = [F.col("date").asc(), F.col("asks").desc(), F.col("record_id").asc()]
+    keyed = written(keyed.repartitionByRange(max(1, rows // ROWS_PER_RANGE), *order).withColumn("range", F.spark_partition_id()), "captures")
     held = F.struct("date", "record_id", "headers")
     latest = lambda: F.max_by(held, F.struct("date", "record_id"))
     ends = keyed.filter("not asks").groupBy("url_key", "range").agg(latest().alias("end"))
@@ -79,8 +87,6 @@ def resolve_revisits(records: DataFrame, rows: int | None = None) -> DataFrame:
     before = Window.partitionBy("url_key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     carried = some.join(ends, ["url_key", "range"], "full").withColumn("carried", F.last("end", True).over(before))
     carried = carried.select(F.col("url_key").alias("u"), F.col("range").alias("r"), "carried")
-    # a response comes after the revisits of its own second
-    order = [F.col("date").asc(), F.col("asks").desc(), F.col("record_id").asc()]
     so_far = Window.partitionBy("url_key", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     met = keyed.withColumn("own", F.last(F.when(~F.col("asks"), held), True).over(so_far)).filter("asks")
     met = met.join(carried, (F.col("url_key") == F.col("u")) & (F.col("range") == F.col("r")), "left")
@@ -108,7 +114,7 @@ def resolve_revisits(records: DataFrame, rows: int | None = None) -> DataFrame:
 def resolved_payloads(records: DataFrame) -> DataFrame:
     """resolve_revisits() with the payload of each resolved revisit."""
     found = resolve_revisits(records.drop("payload"))
-    payloads = records.select(F.col("record_id").alias("response_id"), "payload").dropDuplicates(["response_id"])
+    payloads = records.filter("record_id is not null").groupBy(F.col("record_id").alias("response_id")).agg(F.min_by("payload", F.sha2("payload", 256)).alias("payload"))
     return found.join(payloads, "response_id", "left")
 
 
@@ -122,31 +128,42 @@ def _fields(block: bytes) -> tuple[bytes, dict[str, str]]:
     return first, out
 
 
-def _members(data: bytes):
-    """The records' bytes: each gzip member, or the records of a plain file."""
-    if data[:2] == b"\x1f\x8b":
-        while data:
-            z = zlib.decompressobj(31)
-            yield z.decompress(data) + z.flush()
-            if not z.eof:  # a cut member is the last
-                return
-            data = z.unused_data
-    else:
+def _members(data: bytes, chunk: int = 1 << 14):
+    """The records' bytes: each gzip member, or the records of a plain file. Members are read a chunk
+    at a time, so no member costs a copy of all that follows."""
+    if data[:2] != b"\x1f\x8b":
         yield data
+        return
+    view, at = memoryview(data), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while at < len(view) and not z.eof:
+            out.append(z.decompress(view[at : at + chunk]))
+            at += min(chunk, len(view) - at)
+        at -= len(z.unused_data)
+        yield b"".join(out) + z.flush()
+        if not z.eof:  # a cut member is the last
+            return
 
 
 def parse_warc(data: bytes):
-    """Records of a WARC file as tuples in the order of RECORD, the date as text. A record that
-    is cut off, or has no usable header, ends its member."""
+    """Records of a WARC file as tuples in the order of RECORD, the date as text. Reading goes on
+    after a record that has no usable header, at the next line that begins one; a record
+    that is cut off ends its member."""
     for member in _members(data):
         at = 0
         while True:
+            if member[at : at + 5] != b"WARC/":
+                at = member.find(b"\nWARC/", at) + 1
+                if not at:
+                    break
             end = member.find(b"\r\n\r\n", at)
-            if end < 0 or not member[at : at + 5] == b"WARC/":
+            if end < 0:
                 break
             _, fields = _fields(member[at:end])
             if not fields.get("content-length", "").isdigit():
-                break
+                at = end
+                continue
             body = member[end + 4 : end + 4 + int(fields["content-length"])]
             if len(body) < int(fields["content-length"]):
                 break
@@ -176,7 +193,10 @@ def write_warc(records, packed: bool = True) -> bytes:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files, plain or with a gzip member a record, one file a row of work."""
+    """The records of WARC files, plain or with a gzip member a record, one file a row of work. A file
+    is read whole, and may have 2 GB at most, which is what Spark reads as one value; crawlers
+    write files of about 1 GB."""
+    small_batches(spark)
 
     def run(batches):
         names = ["record_id", "type", "profile", "uri", "date", "status", "headers", "payload"]

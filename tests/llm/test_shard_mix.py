@@ -45,6 +45,8 @@ def test_report(spark, docs, rows, monkeypatch):
         slots[r["shard"]].append(r["slot"])
         assert r["law"] == "key" and (r["grown_shard"] == r["shard"] or r["grown_shard"] == 5)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    hashed = {r["doc_id"]: r["h"] % 2**64 for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    assert all((r["shard"], r["grown_shard"]) == (jump(hashed[r["doc_id"]], 5), jump(hashed[r["doc_id"]], 6)) for r in got)
     assert got and sorted(map(tuple, got), key=str) == sorted(map(tuple, shard.shard_report(docs, 5).collect()), key=str)
 
 
@@ -101,3 +103,54 @@ def test_mix_edge_tables(no_docs, clashing):
     again = Counter(map(str, out.collect()))
     known = Counter(map(str, clashing.collect()))
     assert all(n <= 2 * known[k] for k, n in again.items())
+
+
+def queue(rows, budget=1.5, most=2):
+    """rows (doc_id, source, size, order) served in the order of finish times, up to the budget."""
+    size, entries = Counter(), []
+    for _, s, n, _ in rows:
+        size[s] += n
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    goal = dict(zip(names, mix.share([size[s] for s in names], [mix.WEIGHTS[i % 3] for i in range(len(names))], budget * sum(size.values()), most)))
+    for s in names:
+        sent = 0
+        for d, _, n, _ in sorted((r for r in rows if r[1] == s), key=lambda r: r[3]):
+            sent += n
+            entries += [((sent + e * size[s]) / goal[s], s is not None, s or "", sent, e, n, d) for e in range(most) if n and goal[s]]
+    taken, total = Counter(), 0
+    for *_, n, d in sorted(entries):
+        total += n
+        if total > budget * sum(size.values()):
+            break
+        taken[d] += n
+    return taken
+
+
+def test_the_queue_is_served_by_finish_time(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(mix, "ROWS_PER_BUCKET", 15)
+    monkeypatch.setattr(mix, "ROWS_PER_RANGE", 40)
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(r.integers(0, 30))), ["a", "b", "c", None, "d"][min(4, int(r.integers(0, 9)))]) for i in range(400)]
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    want = queue([(i, s, len(t.split()), md5(f"7:{i}:{md5(t)}")) for i, t, s in rows])
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {x["doc_id"]: x["taken"] for x in mix.mix_report(df).collect()}
+    assert got == {i: want[i] for i, _, _ in rows} and sum(got.values()) > 1.4 * sum(len(t.split()) for _, t, _ in rows)
+    counts = Counter(x["doc_id"] for x in mix.mixed(df).collect())
+    assert sum(n * len(rows[i][1].split()) for i, n in counts.items()) > 1.4 * sum(len(t.split()) for _, t, _ in rows)
+
+
+def test_targets_of_very_many_sources(spark):
+    r = np.random.default_rng(4)
+    sizes = [(f"s{i:05d}", int(r.integers(0, 1000))) for i in range(5_000)]
+    got = {x["source"]: x["target"] for x in mix.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    want = mix.share([n for _, n in sizes], [mix.WEIGHTS[i % 3] for i in range(len(sizes))], 1.5 * sum(n for _, n in sizes), 2)
+    assert all(abs(got[s] - t) < 1e-6 * max(1, t) for (s, _), t in zip(sizes, want))
+
+
+def test_mixed_columns_of_any_kind_and_name(spark):
+    df = spark.createDataFrame([(i // 2, "a b c", "s", {"k": i}, i) for i in range(8)], "doc_id long, text string, source string, `a map` map<string,int>, `dotted.name` int")
+    out = mix.mixed(df)
+    assert out.columns == df.columns and 8 <= out.count() <= 16

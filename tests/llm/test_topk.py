@@ -53,3 +53,22 @@ def test_large_numbers_stay_exact(spark):
 def test_extra_columns(spark):
     df = spark.createDataFrame([(0, [1.0], "x", 1), (1, [2.0], "y", 2)], "vec_id long, embedding array<float>, score string, id int")
     assert [tuple(r) for r in topk.top_k_report(df).collect()] == [(0, 1, 1, 256 * 512)]
+
+
+def test_one_block_of_queries_at_a_time(spark, monkeypatch):
+    """With 50 blocks what each finds is written, and its queries are let go."""
+    monkeypatch.setattr(topk, "QUERIES", 1)
+    r = np.random.default_rng(5)
+    rows = [(i * 50, [float(x) for x in r.normal(size=3)]) for i in range(49)]
+    plans, whole = [], topk.written
+
+    def written(df, name):
+        plans.append(name)
+        return whole(df, name)
+
+    monkeypatch.setattr(topk, "written", written)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, "vec_id", "embedding", F.lit(True), k=3)
+    assert sorted(map(tuple, got.collect())) == brute(rows, k=3)
+    assert 25 < plans.count("topk-found") <= 50
+    assert "mapInArrow" not in got._jdf.queryExecution().logical().toString() and "MapInArrow" not in got._jdf.queryExecution().logical().toString()

@@ -96,3 +96,52 @@ def test_edge_tables(spark):
     assert len(got) == 9 and {r["outcome"] for r in got if r["page_id"] == 1} == {"missing"}
     extra = warc.captures(pages).withColumn("range", F.lit(1)).withColumn("own", F.lit("x"))
     assert warc.resolve_revisits(extra).count() == 9
+
+
+def test_one_date_far_off(spark, monkeypatch):
+    """Ranges hold rows and not years, so one odd date moves no others together."""
+    monkeypatch.setattr(warc, "ROWS_PER_RANGE", 50)
+    sizes, whole = [], warc.written
+
+    def written(df, name):
+        out = whole(df, name)
+        sizes.extend(r["count"] for r in out.groupBy("range").count().collect())
+        return out
+
+    monkeypatch.setattr(warc, "written", written)
+    rows = log(7, 2000) + [("odd", "response", "http://hot.com/", datetime(1970, 1, 2), 200, {})]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    key = {r["uri"]: r["k"] for r in df.select("uri", warc.canonical("uri").alias("k")).distinct().collect()}
+    got = {r["record_id"]: (r["outcome"], r["response_id"], r["headers"]) for r in warc.resolve_revisits(df).collect()}
+    assert got == brute(rows, key)
+    assert max(sizes) < 150 and len(sizes) > 20
+
+
+def test_names_of_fields_in_any_case(spark):
+    rows = [
+        ("a", "response", "http://a.com/", T0, 200, {"ETag": '"1"', "Content-Length": "4", "content-length": "5"}),
+        ("b", "revisit", "http://a.com/", T0 + timedelta(seconds=1), 304, {"etag": 'W/"1"', "DATE": "now"}),
+        (None, "revisit", "http://a.com/", T0 + timedelta(seconds=2), 304, None),
+    ]
+    got = {r["record_id"]: (r["outcome"], r["headers"]) for r in warc.resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got["b"] == ("resolved", {"etag": 'W/"1"', "content-length": "5", "date": "now"})
+
+
+def test_many_members_and_bad_records():
+    import time
+
+    record = ("<a>", "response", None, "http://a.com/", "2024-01-01T00:00:01Z", 200, {}, b"x" * 300)
+    data = warc.write_warc([record] * 12_000)
+    began = time.time()
+    assert sum(1 for _ in warc.parse_warc(data)) == 12_000
+    assert time.time() - began < 5  # each member once; copies of the rest would take over 10
+    good = warc.write_warc([record], False)
+    bad = good.replace(b"Content-Length", b"Content-Sighs")
+    assert [r[0] for r in warc.parse_warc(good + bad + good)] == ["<a>", "<a>"]
+    assert list(warc.parse_warc(bad)) == [] and list(warc.parse_warc(b"no record")) == []
+
+
+def test_payloads_without_an_id(spark):
+    rows = [(None, "response", "http://a.com/", T0, 200, {}, b"x"), ("b", "revisit", "http://a.com/", T0 + timedelta(seconds=1), 304, {}, None)]
+    got = warc.resolved_payloads(spark.createDataFrame(rows, SCHEMA + ", payload binary")).collect()
+    assert [(r["record_id"], r["outcome"], r["payload"]) for r in got] == [("b", "unvalidated", None)]
