@@ -59,9 +59,16 @@ with recursive l as (
 ), kind as (
   select x, min(struct_pack(d := doc_id, n := line)) as first, row_number() over (order by min(struct_pack(d := doc_id, n := line))) as id, len(x) as size
   from real group by x
+), pair as materialized (
+  select a.id as u, b.id as v, a.x as x, b.x as y, a.size // 3 as t
+  from kind a join (select id, x, size + d as s from kind, unnest(range(-2, 3)) t(d) where size >= 20) b on a.size = b.s and a.id < b.id
+  where a.size >= 20
+), near as materialized (
+  select * from pair where contains(y, left(x, t)) or contains(y, substr(x, t + 1, t)) or contains(y, substr(x, 2 * t + 1))
+), met as materialized (
+  select u, v from near where levenshtein(x, y) <= 2
 ), link as (
-  select a.id as u, b.id as v from kind a join kind b on a.id <> b.id and abs(a.size - b.size) <= 2
-  where a.size >= 20 and b.size >= 20 and levenshtein(a.x, b.x) <= 2
+  select u, v from met union all select v, u from met
 ), reach as (
   select id as u, id as v from kind where id in (select u from link)
   union
