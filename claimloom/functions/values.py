@@ -121,3 +121,6 @@ LABEL_JUNK = ["<|end|>", "<|assistant|>", "answer:"]
 CHUNK_CHARS, ROOT_TOPICS, TOPICS_PER_CHUNK, TOPIC_DEPTH, MAX_TOPICS, QUESTIONS, STATEMENTS = 2000, 18, 6, 3, 500, 2, 2
 FOCI, RADII, MAX_NODES, EDGE_COST = 40, [1, 2], [30, 60], 0.25
 TOP_MODELS, TOP_CLAIMS, ALPHA, TIER_1, TIER_2, PER_TIER, EXAMPLES, HUB_EDGES = 5, 30, 1.0, 0.60, 0.30, 10, 3, 8
+
+#: Radius of a hover cluster, as the quantile of distances, its floor, how much wider, and its bounds.
+HOVER_QUANTILE, HOVER_FLOOR, HOVER_WIDER, HOVER_LEAST, HOVER_MOST = 0.85, 0.05, 1.35, 0.055, 0.22

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..functions import values as V
 from .graph import MODEL
+from .lineage import cut
 
 CLAIM = "credibility double, src string, rel string, dst string, support_count long, models_supporting string, example_1 string, example_2 string, example_3 string"
 
@@ -71,29 +72,35 @@ def _groups(rows: pd.DataFrame) -> list[list[int]]:
 
 def quotient(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Claims that say the same folded into their best one, with how many there are. Rows meet
-    only within a tier and a relation family, so each such block is a task of its own; its size
-    is what the best models hold."""
-    by = by or []
-    rows = df.select("*", X.relation_family("rel").alias("_family"), X.claim_signature("src").alias("_s"), X.claim_signature("dst", True).alias("_d"))
-    names = df.columns
-    shape = ", ".join(f"{n} {t}" for n, t in df.dtypes) + ", summary_variant_count int, summary_equivalence_size int"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    only within a tier and a relation family, so the choice of leaders, which goes by order, is a
+    task for each such block, of what the best models hold. All else are aggregates by leader:
+    the most support, the models together, and the first three different examples, by the
+    column they stand in and then by rank."""
+    by, names = by or [], df.columns
+    rows = cut(df.withColumn("_id", F.monotonically_increasing_id()), "claims")
+    told = rows.select(*by, "_id", "credibility", "support_count", "src", "rel", "dst", X.relation_family("rel").alias("_family"), X.claim_signature("src").alias("_s"), X.claim_signature("dst", True).alias("_d"))
+
+    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["credibility", "support_count", "src", "rel", "dst"], ascending=[False, False, True, True, True], kind="stable").reset_index(drop=True)
-        out = []
+        out = pd.DataFrame({"_id": pdf["_id"], "_rank": range(len(pdf)), "_leader": 0})
         for g in _groups(pdf):
-            part = pdf.iloc[g]
-            row = part.iloc[0].to_dict()  # the rank is by credibility and support, so the first is the best
-            told = [x.strip() for c in ("example_1", "example_2", "example_3") for x in part[c].fillna("") if x.strip()]
-            for i, x in enumerate(list(dict.fromkeys(told))[:3], 1):
-                row[f"example_{i}"] = x
-            row["support_count"] = int(part["support_count"].max())
-            row["models_supporting"] = "; ".join(sorted({m.strip() for x in part["models_supporting"].fillna("") for m in x.split(";") if m.strip()}))
-            row["summary_variant_count"] = row["summary_equivalence_size"] = len(part)
-            out.append(row)
-        return pd.DataFrame(out)[[*names, "summary_variant_count", "summary_equivalence_size"]]
-
-    return rows.groupBy(*by, "_family").applyInPandas(fold, shape)
+            out.loc[g, "_leader"] = pdf["_id"].iloc[g[0]]  # the rank is by credibility and support, so the first is the best
+        return out
+
+    member = rows.join(told.groupBy(*by, "_family").applyInPandas(lead, "_id long, _rank long, _leader long"), "_id")
+    one = F.transform(F.split(F.coalesce("models_supporting", F.lit("")), ";"), lambda m: X.strip(m))
+    sums = member.groupBy("_leader").agg(
+        F.max("support_count").alias("support_count"), F.count("*").cast("int").alias("summary_variant_count"),
+        F.array_join(F.array_sort(F.filter(F.array_distinct(F.flatten(F.collect_list(one))), lambda m: m != "")), "; ").alias("models_supporting"),
+    )
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col("_rank").alias("r"), X.strip(F.coalesce(f"example_{i}", F.lit(""))).alias("x")) for i in (1, 2, 3)])
+    said = member.select("_leader", F.explode(cells).alias("c")).filter("c.x <> ''").groupBy("_leader", "c.x").agg(F.min(F.struct("c.i", "c.r")).alias("at"))
+    said = said.groupBy("_leader").agg(F.slice(F.array_sort(F.collect_list(F.struct("at", "x"))), 1, 3)["x"].alias("told"))
+    kept = [c for c in names if c not in ("support_count", "models_supporting", "example_1", "example_2", "example_3")]
+    out = rows.select(*[F.col(c) for c in kept], F.col("_id").alias("_leader"), *[F.col(f"example_{i}").alias(f"_e{i}") for i in (1, 2, 3)])
+    out = out.join(sums, "_leader").join(said, "_leader", "left")
+    out = out.withColumns({f"example_{i}": F.coalesce(F.get("told", F.lit(i - 1)), f"_e{i}") for i in (1, 2, 3)})
+    return out.withColumn("summary_equivalence_size", F.col("summary_variant_count")).select(*names, "summary_variant_count", "summary_equivalence_size")
 
 
 def hubs(edges: DataFrame, k: int = V.HUB_EDGES) -> DataFrame:

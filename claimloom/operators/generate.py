@@ -86,16 +86,18 @@ class StubClient:
 
 
 def answered(prompts: DataFrame, client: Callable, batch: int = 16, column: str = "prompt") -> DataFrame:
-    """prompts with raw and error. client: makes a client; it is sent to the tasks."""
-    shape = ", ".join(f"{n} {t}" for n, t in prompts.dtypes) + ", raw string, error string"
+    """prompts with raw, error, and the tokens that a client which counts them has used: those of a
+    batch of prompts at its first one. client: makes a client; it is sent to the tasks."""
+    shape = ", ".join(f"{n} {t}" for n, t in prompts.dtypes) + ", raw string, error string, prompt_tokens long, completion_tokens long"
 
     def run(batches):
         c = client()
         for b in batches:
-            raws, errors = [], []
+            raws, errors, used = [], [], {"prompt_tokens": [], "completion_tokens": []}
             asked = b[column].tolist()
             for i in range(0, len(asked), batch):
                 part = asked[i : i + batch]
+                before = dict(getattr(c, "used", None) or {})
                 try:
                     got = list(c.ask_batch(part))[: len(part)]
                     got, bad = got + [""] * (len(part) - len(got)), [None] * len(part)
@@ -110,11 +112,21 @@ def answered(prompts: DataFrame, client: Callable, batch: int = 16, column: str
                             bad.append(str(e)[:500])
                 raws += got
                 errors += bad
-            yield b.assign(raw=pd.Series(raws, index=b.index, dtype=object), error=pd.Series(errors, index=b.index, dtype=object))
+                for k, v in used.items():
+                    v += [int((getattr(c, "used", None) or {}).get(k, 0)) - int(before.get(k, 0))] + [0] * (len(part) - 1)
+            yield b.assign(raw=pd.Series(raws, index=b.index, dtype=object), error=pd.Series(errors, index=b.index, dtype=object), **{k: pd.Series(v, index=b.index, dtype="int64") for k, v in used.items()})
 
     return prompts.mapInPandas(run, shape)
 
 
+def usage_log(answers: DataFrame, stage: str) -> DataFrame:
+    """One row for the usage log of a stage: how many prompts, failed ones, and tokens."""
+    return answers.agg(
+        F.lit(stage).alias("stage"), F.count("*").alias("prompts"), F.count("error").alias("failed"),
+        F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"), F.current_timestamp().alias("at"),
+    )
+
+
 def max_tokens(n: int, floor: int = 48) -> int:
     """Tokens allowed for n statements."""
     return max(floor, max(96, 96 * n))

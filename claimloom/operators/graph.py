@@ -137,6 +137,14 @@ def lcm_file(focus="focus", radius="radius", max_nodes="max_nodes") -> Column:
     return F.concat(X.focus_slug(focus), F.lit("_r"), F.col(radius).cast("string"), F.lit("_m"), F.col(max_nodes).cast("string"), F.lit(".json"))
 
 
+def documents_of(scores: DataFrame, documents: DataFrame) -> DataFrame:
+    """The nested models of score rows. A row without its model is an error, which names some."""
+    missing = scores.select(*MODEL).join(documents, MODEL, "left_anti").orderBy(*MODEL).take(3)
+    if missing:
+        raise ValueError(f"scores without a model: {[tuple(r) for r in missing]}")
+    return documents.join(scores.select(*MODEL).distinct(), MODEL, "left_semi")
+
+
 def model_graph(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and causal edges of nested models: endpoints and the focus are nodes, listed or not."""
     edges = documents.select(*MODEL, F.explode("edges").alias("e")).select(*MODEL, "e.*").filter(~F.col("rel").isin(*V.ANCHORS))
@@ -146,21 +154,36 @@ def model_graph(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def simplices(triples: DataFrame) -> DataFrame:
-    """(i, j, k, domain) of chained triples of one domain, as often as they chain."""
-    a = triples.select(F.col("subj").alias("i"), F.col("obj").alias("j"), "domain")
-    b = triples.select(F.col("subj").alias("j"), F.col("obj").alias("k"), "domain")
-    return a.join(b, ["j", "domain"]).select("i", "j", "k", "domain")
+    """(i, j, k, domain) of chained triples of one domain, as often as they chain. Equal pairs are
+    counted before they are joined, and the counts multiplied."""
+    pairs = triples.groupBy("subj", "obj", "domain").agg(F.count("*").alias("n"))
+    a = pairs.select(F.col("subj").alias("i"), F.col("obj").alias("j"), "domain", F.col("n").alias("n1"))
+    b = pairs.select(F.col("subj").alias("j"), F.col("obj").alias("k"), "domain", F.col("n").alias("n2"))
+    both = a.join(b, ["j", "domain"])
+    return both.withColumn("n", F.explode(F.sequence(F.lit(1), (F.col("n1") * F.col("n2")).cast("int")))).select("i", "j", "k", "domain")
 
 
 def triangles(edges: DataFrame) -> DataFrame:
     """Distinct (a, b, c), a <= b <= c, of two edges u -> v -> w with u <> w."""
-    one = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
-    two = edges.select(F.col("src").alias("v"), F.col("dst").alias("w"))
+    pairs = edges.select("src", "dst").distinct()
+    one = pairs.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+    two = pairs.select(F.col("src").alias("v"), F.col("dst").alias("w"))
     t = one.join(two, "v").filter("u <> w").select(F.array_sort(F.array("u", "v", "w")).alias("t"))
     return t.select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c")).distinct()
 
 
-def paths(topics: DataFrame, depth: int = 8) -> DataFrame:
+def simplicial_inputs(edges: DataFrame, domains: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a network over a small graph reads: nodes (node, degree, domain_id), edges (src, dst) and
+    triangles (a, b, c). domains: (node, domain), `Unknown` where one is missing; their ids are
+    dense, in their order."""
+    pairs = edges.select("src", "dst").distinct()
+    degree = pairs.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    named = degree.join(domains.groupBy("node").agg(F.min("domain").alias("domain")), "node", "left").withColumn("domain", F.coalesce("domain", F.lit("Unknown")))
+    ids = named.select("domain").distinct().withColumn("domain_id", F.row_number().over(Window.orderBy("domain")) - 1)  # a row a domain
+    return named.join(ids, "domain").select("node", "degree", "domain_id"), pairs, triangles(pairs)
+
+
+def paths(topics: DataFrame) -> DataFrame:
     """(topic, path) from the root. Of topics that come twice the last by seq counts, if there is
     one. One join a level, on what is not yet at its root; cycles and missing parents give none."""
     if "seq" in topics.columns:
@@ -170,7 +193,8 @@ def paths(topics: DataFrame, depth: int = 8) -> DataFrame:
     done = todo.filter("parent is null").select("topic", "path")
     todo = todo.filter("parent is not null")
     up = links.select(F.col("topic").alias("t2"), F.col("parent").alias("p2"))
-    for _ in range(depth):
+    while True:
+        todo = todo.filter(~F.array_contains("path", F.col("parent")))  # a cycle has no root
         todo = cut(todo.join(up, F.col("parent") == F.col("t2")).select("topic", F.array_prepend("path", F.col("t2")).alias("path"), F.col("p2").alias("parent")), "paths")
         done = done.unionByName(todo.filter("parent is null").select("topic", "path"))
         todo = todo.filter("parent is not null")

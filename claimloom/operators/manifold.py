@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
+from ..functions import values as V
 from .lineage import cut
 
 
@@ -57,6 +60,19 @@ def hashed_vectors(c, dim: int = 64) -> Column:
     return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
 
 
+def encoded(df: DataFrame, column: str, encoder: Callable) -> DataFrame:
+    """df with h: the vectors that a sentence model gives the column's texts. encoder: makes the
+    model in each task, a function from a list of texts to as many vectors."""
+
+    def run(batches):
+        model = encoder()
+        for b in batches:
+            got = model([x or "" for x in b[column].tolist()])
+            yield b.assign(h=[[float(y) for y in v] for v in got])
+
+    return df.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", h array<double>")
+
+
 def activation(c) -> Column:
     """The length of a vector."""
     return F.sqrt(F.aggregate(X._col(c), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -130,6 +146,36 @@ def triangle_pass(vectors: DataFrame, triangles: DataFrame, dim: int, seed: int
     return vectors.join(sums, F.col("id") == F.col("_j"), "left").select("id", F.when(F.col("m").isNull(), F.col("h")).otherwise(F.zip_with("h", "m", lambda a, b: a + b)).alias("h"))
 
 
+def simplicial_layer(vectors: DataFrame, edges: DataFrame, triangles: DataFrame, dim: int, seed: int = 0) -> DataFrame:
+    """One layer with a residual update: messages of sources along edges (i, j), from i to j, and of
+    triangles (a, b, c) to each of their nodes, are summed and go through a small network, whose
+    answer is added. Weights are random by seed."""
+    rng = np.random.default_rng([seed, 17])
+    one, two, last = _layer(rng, dim, dim), _layer(rng, dim, dim), _layer(rng, dim, dim, dim)
+    own = vectors.select("id", F.transform("h", lambda x: x.cast("double")).alias("h"))
+    along = edges.select("i", "j").join(own.select(F.col("id").alias("i"), "h"), "i").select(F.col("j").alias("to"), "h")
+    corners = [own.select(F.col("id").alias(c), F.col("h").alias(f"h{c}")) for c in "abc"]
+    t = triangles.select("a", "b", "c").join(corners[0], "a").join(corners[1], "b").join(corners[2], "c")
+    mean = F.transform(F.arrays_zip("ha", "hb", "hc"), lambda x: (x["ha"] + x["hb"] + x["hc"]) / 3)
+    round_ = t.select(F.explode(F.array("a", "b", "c")).alias("to"), mean.alias("h"))
+
+    def through(net, relu: bool):
+        def run(batches):
+            for b in batches:
+                if len(b):
+                    m = _mlp(np.stack(b["h"]), net)
+                    yield pd.DataFrame({"to": b["to"], "h": list(np.maximum(m, 0) if relu else m)})
+
+        return run
+
+    shape = "to long, h array<double>"
+    sent = along.mapInPandas(through(one, True), shape).unionByName(round_.mapInPandas(through(two, True), shape))
+    sums = sent.groupBy("to").agg(*[F.sum(F.col("h")[k]).alias(f"m{k}") for k in range(dim)])
+    sums = own.select(F.col("id").alias("to")).join(sums, "to", "left").select("to", F.array(*[F.coalesce(f"m{k}", F.lit(0.0)) for k in range(dim)]).alias("h"))
+    moved = sums.mapInPandas(through(last, False), shape).select(F.col("to").alias("id"), F.col("h").alias("m"))
+    return own.join(moved, "id").select("id", F.zip_with("h", "m", lambda a, b: a + b).alias("h"))
+
+
 def expert_block(vectors: DataFrame, dim: int, experts: int = 4, seed: int = 0) -> DataFrame:
     """vectors through a mixture of small networks, weighted by a softmax gate, added and normalised."""
     rng = np.random.default_rng([seed, 7])
@@ -155,7 +201,10 @@ def mean_vector(vectors: DataFrame, dim: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, asked: DataFrame, k: int = 15, metric: str = "cosine", block: int = 2000) -> DataFrame:
     """(id, rank, other, distance): the k nearest of vectors (id, h) to each asked one but itself;
-    ties by id. Asked vectors go out in blocks; each task keeps its k best of each."""
+    ties by id. Asked vectors go out in blocks; each task keeps its k best of each. What several
+    blocks find is written one by one, so the driver holds one block at a time."""
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.round("distance", 9), "other"))
+    ranked = lambda found: found.withColumn("rank", rank).filter(F.col("rank") <= k).select("id", "rank", "other", "distance")
     todo = cut(asked.select("id", F.transform("h", lambda x: x.cast("double")).alias("h")), "asked")
     n, out = todo.count(), None
     for part in range(n // block + 1):
@@ -185,12 +234,46 @@ def nearest(vectors: DataFrame, asked: DataFrame, k: int = 15, metric: str = "co
                 ok = np.isfinite(best[0])
                 yield pd.DataFrame({"id": ids[np.nonzero(ok)[0]], "other": best[1][ok], "distance": best[0][ok]})
 
-        one = vectors.select("id", F.transform("h", lambda x: x.cast("double")).alias("h")).mapInPandas(visit, "id long, other long, distance double")
+        one = ranked(vectors.select("id", F.transform("h", lambda x: x.cast("double")).alias("h")).mapInPandas(visit, "id long, other long, distance double"))
+        one = cut(one, "nearest") if n >= block else one
         out = one if out is None else out.unionByName(one)
     if out is None:
         return vectors.sparkSession.createDataFrame([], "id long, rank int, other long, distance double")
-    w = Window.partitionBy("id").orderBy(F.round("distance", 9), "other")
-    return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("id", "rank", "other", "distance")
+    return out
+
+
+def neighbour_layout(vectors: DataFrame, dim: int, k: int = 15, metric: str = "cosine", axes: int = 2, epochs: int = 20, seed: int = 42, nearness: float = 0.1) -> DataFrame:
+    """(id, xy): a layout that keeps neighbours together. The graph of k nearest neighbours has fuzzy
+    weights, which fall off from the nearest one; points start at their principal axes, and each
+    epoch pulls neighbours together and pushes each point from a few that a hash draws. An epoch
+    is two joins and a sum, whatever the number of points; the same seed gives the same layout."""
+    near = nearest(vectors, vectors, k, metric)
+    w = Window.partitionBy("id")
+    near = near.withColumn("low", F.min("distance").over(w)).withColumn("wide", F.greatest(F.avg("distance").over(w) - F.col("low"), F.lit(1e-6)))
+    near = near.select("id", "other", F.exp(-(F.col("distance") - F.col("low")) / F.col("wide")).alias("p"))
+    both = near.unionByName(near.select(F.col("other").alias("id"), F.col("id").alias("other"), "p"))
+    # of a pair that is in it twice: either or both, as fuzzy sets are joined
+    graph = cut(both.groupBy("id", "other").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("p")), "neighbours")
+    start = layout(vectors, dim, axes)
+    spread = start.agg(*[F.greatest(F.stddev(F.col("xy")[a]), F.lit(1e-9)) for a in range(axes)]).first()
+    points = cut(start.select("id", F.array(*[F.col("xy")[a] / float(spread[a] or 1.0) for a in range(axes)]).alias("xy")), "layout")
+    ids = cut(_numbered(points.withColumn("_o", F.col("id")), "_o", "id").toDF("place", "id"), "layout-ids")
+    n = ids.count()
+    minus = lambda x, y: F.zip_with(x, y, lambda a, b: a - b)
+    for epoch in range(epochs if n > 1 else 0):
+        rate = 0.5 * (1 - epoch / epochs)
+        drawn = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.pmod(F.xxhash64("id", i, F.lit(seed), F.lit(epoch)), F.lit(n)))
+        far = points.select("id", F.explode(drawn).alias("place")).join(ids.select("place", F.col("id").alias("other")), "place").filter("id <> other").select("id", "other", F.lit(0.0).alias("p"))
+        pairs = graph.unionByName(far).join(points.select("id", F.col("xy").alias("a")), "id").join(points.select(F.col("id").alias("other"), F.col("xy").alias("b")), "other")
+        pairs = pairs.withColumn("v", minus("a", "b"))
+        d2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+        pull = -F.col("p") / (1 + d2)
+        push = 1 / ((nearness + d2) * (1 + d2))
+        pairs = pairs.withColumn("g", F.when(F.col("p") > 0, pull).otherwise(push))
+        step = [F.sum(F.least(F.greatest(F.col("g") * F.col("v")[a], F.lit(-1.0)), F.lit(1.0))).alias(f"m{a}") for a in range(axes)]
+        moved = pairs.groupBy("id").agg(*step)
+        points = cut(points.join(moved, "id", "left").select("id", F.array(*[F.col("xy")[a] + rate * F.coalesce(f"m{a}", F.lit(0.0)) / (k / 4) for a in range(axes)]).alias("xy")), "layout")
+    return points
 
 
 def layout(vectors: DataFrame, dim: int, axes: int = 2) -> DataFrame:
@@ -248,7 +331,7 @@ def hover_clusters(points: DataFrame, labels: DataFrame, steps: int = 10) -> Dat
     own = p.withColumn("cluster", near(centers)["i"])
     c = own.groupBy("cluster").agg(F.count("*").alias("point_count"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     d = own.join(F.broadcast(c), "cluster").withColumn("d", F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2))
-    radius = d.groupBy("cluster").agg(F.percentile("d", F.lit(0.85)).alias("r"))
+    radius = d.groupBy("cluster").agg(F.percentile("d", F.lit(V.HOVER_QUANTILE)).alias("r"))
     named = d.join(labels.select("id", X.hover_label("label").alias("l")), "id").filter("l <> ''").groupBy("cluster", "l").agg(F.min(F.struct("d", "id")).alias("f"))
     first = named.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("f", "l"))).filter("k <= 4")
     four = first.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("k", "l"))).alias("s")).select("cluster", F.col("s.l").alias("sample_labels"))
@@ -257,7 +340,7 @@ def hover_clusters(points: DataFrame, labels: DataFrame, steps: int = 10) -> Dat
     return out.select(
         (F.col("cluster") + 1).cast("int").alias("cluster"), F.array_join(F.slice("sample_labels", 1, 3), " / ").alias("label"), "sample_labels", "point_count",
         ((F.col("cx") - head[1]) / sx).alias("x_norm"), (1.0 - (F.col("cy") - head[3]) / sy).alias("y_norm"),
-        F.least(F.lit(0.22), F.greatest(F.lit(0.055), F.greatest(F.col("r") / max(sx, sy), F.lit(0.05)) * 1.35)).alias("radius_norm"),
+        F.least(F.lit(V.HOVER_MOST), F.greatest(F.lit(V.HOVER_LEAST), F.greatest(F.col("r") / max(sx, sy), F.lit(V.HOVER_FLOOR)) * V.HOVER_WIDER)).alias("radius_norm"),
     ).orderBy(F.desc("point_count"), "label")
 
 

@@ -19,8 +19,8 @@ def support(triples: DataFrame, with_relation: bool = False) -> DataFrame:
 
 
 def examples(triples: DataFrame, k: int = V.EXAMPLES) -> DataFrame:
-    """(subj, obj, rel, examples): the first k statements of each edge that are not empty. The k
-    least by seq are kept within the aggregate, so a common edge's statements are not gathered."""
+    """(subj, obj, rel, examples): the first k statements of each edge that are not empty.
+    They are ranked by seq in a window of which Spark keeps k rows a group before it shuffles."""
     w = Window.partitionBy("subj", "obj", "rel").orderBy("seq")
     first = triples.filter(F.coalesce("statement", F.lit("")) != "").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= k)
     got = first.groupBy("subj", "obj", "rel").agg(F.array_sort(F.collect_list(F.struct("seq", "statement"))).alias("e"))
@@ -32,9 +32,14 @@ def node_support(triples: DataFrame) -> DataFrame:
     return triples.select(F.explode(F.array("subj", "obj")).alias("node")).groupBy("node").agg(F.count("*").alias("support"))
 
 
-def text_scores(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, edge_cost: float = V.EDGE_COST) -> DataFrame:
+def text_scores(nodes: DataFrame, edges: DataFrame, evidence: DataFrame, edge_cost: float = V.EDGE_COST, local_only: bool = False) -> DataFrame:
     """(model, n_nodes, n_edges, score): the logarithms of one plus each edge's support, summed,
-    less a cost for each edge. The evidence is counted once and met by the edges once."""
+    less a cost for each edge. The evidence is counted once and met by the edges once. local_only:
+    only evidence between nodes of models counts, which changes nothing for models of a sweep, as
+    the ends of their edges are their nodes."""
+    if local_only:
+        for end in ("subj", "obj"):
+            evidence = evidence.join(nodes.select(F.col("node").alias(end)).distinct(), end, "left_semi")
     held = edges.join(evidence, (F.col("src") == F.col("subj")) & (F.col("dst") == F.col("obj")), "left")
     gain = F.log1p(F.coalesce("support", F.lit(0)))
     e = held.groupBy(*MODEL).agg(F.count("*").alias("n_edges"), (F.sum(gain) - edge_cost * F.count("*")).alias("score"))

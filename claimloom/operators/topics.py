@@ -45,13 +45,13 @@ def mined_topics(docs: DataFrame, n: int = V.ROOT_TOPICS) -> DataFrame:
 
     def grams(size: int) -> Column:
         last = F.size("w") - size + 1
-        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice("w", i, F.lit(size))))
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(size)), " ")))
 
-    both = kept.select(F.explode(F.concat(F.coalesce(grams(3), F.array().cast("array<array<string>>")), F.coalesce(grams(2), F.array().cast("array<array<string>>")))).alias("g"))
+    both = kept.select(F.explode(F.concat(F.coalesce(grams(3), F.array().cast("array<string>")), F.coalesce(grams(2), F.array().cast("array<string>")))).alias("g"))
     counted = both.groupBy("g").agg(F.count("*").alias("n"))
     rare = freq.filter("n < 2").select("word")
-    bad = counted.select("g", F.explode(F.array_distinct("g")).alias("word")).join(rare, "word", "left_semi").select("g").distinct()
-    spaced = F.array_join(F.transform("g", lambda w: F.replace(w, F.lit("-"), F.lit(" "))), " ")
+    bad = counted.select("g", F.explode(F.array_distinct(F.split("g", " "))).alias("word")).join(rare, "word", "left_semi").select("g").distinct()
+    spaced = F.replace(F.col("g"), F.lit("-"), F.lit(" "))
     phrases = counted.join(bad, "g", "left_anti").groupBy(spaced.alias("topic")).agg(F.sum("n").alias("n"))
     want = max(0, n - len(V.TOPICS_ALWAYS))
     first = phrases.orderBy(F.desc("n"), F.desc(F.length("topic")), "topic").limit(want).select(F.lit(0).alias("kind"), "n", F.length("topic").alias("size"), "topic")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,11 @@ from ..operators import graph as G
 from ..operators import scoring as S
 from ..operators import statements as T
 from ..operators import topics as P
-from ..operators.lineage import cut
+from ..operators.lineage import cut, scratch
+
+
+#: More questions than a topic has, and statements than a question has.
+PLACES = 1 << 12
 
 
 def discover_topics(docs: DataFrame, client: Callable, k: int = V.ROOT_TOPICS, per_chunk: int = V.TOPICS_PER_CHUNK) -> DataFrame:
@@ -32,11 +38,14 @@ def phase_one(roots: DataFrame, client: Callable, guide: str = "", depth: int =
     paths = G.paths(topics)
     asked = paths.withColumn("prompt", X.question_prompt("path", guide))
     q = T.questions(cut(L.answered(asked, client), "question-answers"), "topic", guide)
-    told = q.withColumn("prompt", X.statement_prompt("question", "path", guide)).withColumn("key", F.concat_ws("\t", "topic", "question"))
+    # seq is the order of files written one after the other: by topic, question and statement
+    q = q.join(topics.groupBy("topic").agg(F.min("seq").alias("at")), "topic")
+    told = q.withColumn("prompt", X.statement_prompt("question", "path", guide)).withColumn("key", F.concat_ws("\t", "topic", "rank", "question"))
     s = T.statements(cut(L.answered(told, client), "statement-answers").select("key", "path", "question", "raw"), "key", guide)
-    s = s.withColumn("topic", F.split("key", "\t")[0])
-    rows = s.withColumn("seq", F.xxhash64("topic", "question", "rank")).select("seq", "topic", "path", "question", "statement")
-    return {"topics": topics, "questions": q, "statements": s, "triples": T.triples(rows)}
+    s = s.join(told.select("key", "topic", "at", F.col("rank").alias("asked")), "key")
+    order = F.col("at") * (PLACES * PLACES) + F.col("asked") * PLACES + F.col("rank")
+    rows = s.withColumn("seq", order.cast("long")).select("seq", "topic", "path", "question", "statement")
+    return {"topics": topics, "questions": q.drop("at"), "statements": s.drop("at", "asked"), "triples": T.triples(rows)}
 
 
 @dataclass
@@ -73,29 +82,38 @@ def phase_two(triples: DataFrame, settings: Settings | None = None) -> dict[str,
     return {"edges": edges, "nodes": nodes, "models": models, "scores": scores, "top": top, "claims": found}
 
 
-def batch(docs: DataFrame, client: Callable, manifest: DataFrame | None = None, auto_topics: bool = True, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
+def batch(docs: DataFrame, client: Callable, manifest: DataFrame | None = None, auto_topics: bool = True, settings: Settings | None = None, at_once: int = 4) -> tuple[DataFrame, DataFrame]:
     """Both phases for each of docs (name, sha, text) that the manifest has not finished: claims
-    with their document, and the manifest's new rows. A document that fails does not stop others."""
+    with their document, and the manifest's new rows. A document that fails does not stop others;
+    of several with one sha the first by name is run. Names come to the driver one after the
+    other, `at_once` documents run side by side, and each writes its own claims."""
     spark = docs.sparkSession
     todo = docs if manifest is None else docs.join(manifest.filter("phase1_status = 'ok' and phase2_status = 'ok'").select("sha"), "sha", "left_anti")
-    rows, claims = [], None
-    for i, r in enumerate(todo.select("name", "sha").orderBy("name").collect()):
+    todo = cut(todo.groupBy("sha").agg(F.min("name").alias("name"), F.min_by("text", "name").alias("text")), "batch")
+    folder = scratch(spark, "batch-claims")
+
+    def run(job) -> tuple:
+        i, r = job
         status, note = ["skipped", "skipped"], ""
         try:
-            one = docs.filter(F.col("sha") == r["sha"]).limit(1).select(F.col("sha").alias("doc_id"), "text")
+            one = todo.filter(F.col("sha") == r["sha"]).select(F.col("sha").alias("doc_id"), "text")
             found = P.mined_topics(one) if auto_topics else discover_topics(one, client).withColumn("rank", F.monotonically_increasing_id())
             triples = cut(phase_one(found.select(F.col("rank").cast("long").alias("seq"), "topic"), client)["triples"], "triples")
             status[0] = "ok"
             if triples.take(1):
-                got = cut(phase_two(triples, settings)["claims"], "claims").withColumn("sha", F.lit(r["sha"]))
-                claims = got if claims is None else claims.unionByName(got)
+                phase_two(triples, settings)["claims"].withColumn("sha", F.lit(r["sha"])).write.mode("overwrite").parquet(f"{folder}/{r['sha']}")
                 status[1] = "ok"
             else:
                 note = "no triples"
         except Exception as e:  # the manifest has it; the batch goes on
             status[status.index("skipped")] = "failed"
             note = str(e)[:500]
-        rows.append((i, r["name"], r["sha"], *status, note))
+        return i, r["name"], r["sha"], *status, note
+
+    rows, jobs = [], enumerate(todo.select("name", "sha").orderBy("name").toLocalIterator())
+    with ThreadPoolExecutor(at_once) as pool:
+        while part := list(islice(jobs, 16 * at_once)):
+            rows += pool.map(run, part)
     told = spark.createDataFrame(rows, "idx int, name string, sha string, phase1_status string, phase2_status string, notes string")
-    empty = spark.createDataFrame([], C.CLAIM + ", sha string")
-    return (empty if claims is None else claims), told
+    shape, done = C.CLAIM + ", sha string", [f"{folder}/{r[2]}" for r in rows if r[4] == "ok"]
+    return (spark.read.schema(shape).parquet(*done) if done else spark.createDataFrame([], shape)), told

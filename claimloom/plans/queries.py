@@ -25,7 +25,9 @@ from . import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FOCI, RADII, SIZES, MODELS = 20, [1, 2], [10, 30], 5
+#: The pipeline's defaults: 3,000 local models.
+DEFAULTS = pipeline.Settings()
+FOCI, RADII, SIZES, MODELS = DEFAULTS.foci, DEFAULTS.radii, DEFAULTS.max_nodes, DEFAULTS.models
 GUIDE = "large red widgets and what follows from brand"
 
 
@@ -87,7 +89,7 @@ def _has(x: str, phrases) -> str:
 EDGES_SQL = (
     TRIPLES_SQL + ", added as (select subj as src, obj as dst, rel, seq, 0 as step from triples union all select topic, subj, 'has_subj', seq, 1 from triples "
     "union all select topic, obj, 'has_obj', seq, 2 from triples), "
-    "edges as (select src, dst, arg_max(rel, seq * 3 + step) as rel from added group by 1, 2), "
+    "edges as materialized (select src, dst, arg_max(rel, seq * 3 + step) as rel from added group by 1, 2), "
     "degrees as (select node, count(*) as degree from (select src as node from edges union all select dst from edges) group by 1), "
     f"foci as (select node from degrees order by degree desc, node limit {FOCI})"
 )
@@ -95,13 +97,13 @@ SWEEP_SQL = (
     EDGES_SQL + ", reach as (select focus, node, min(hop) as hop from (select node as focus, node, 0 as hop from foci "
     "union all select f.node, e.dst, 1 from foci f join edges e on e.src = f.node "
     "union all select f.node, e2.dst, 2 from foci f join edges e1 on e1.src = f.node join edges e2 on e2.src = e1.dst) group by 1, 2), "
-    "inner_edges as (select a.focus, e.src, e.dst, e.rel, greatest(a.hop, b.hop) as enter from edges e join reach a on a.node = e.src join reach b on b.focus = a.focus and b.node = e.dst), "
+    "inner_edges as materialized (select a.focus, e.src, e.dst, e.rel, greatest(a.hop, b.hop) as enter from edges e join reach a on a.node = e.src join reach b on b.focus = a.focus and b.node = e.dst), "
     f"radii as (select unnest({RADII}) as radius), sizes as (select unnest({SIZES}) as max_nodes), "
     "inner_degrees as (select focus, radius, node, count(*) as degree from (select focus, src as node, enter from inner_edges union all select focus, dst, enter from inner_edges) join radii on enter <= radius group by 1, 2, 3), "
     "members as (select r.focus, x.radius, r.node, coalesce(degree, 0) as degree from reach r join radii x on r.hop <= x.radius left join inner_degrees i on i.focus = r.focus and i.radius = x.radius and i.node = r.node), "
     "ordered as (select *, row_number() over (partition by focus, radius order by degree desc, node) as rank, count(*) over (partition by focus, radius) as n from members), "
-    "nodes as (select focus, radius, max_nodes, node from ordered cross join sizes where n <= max_nodes or rank <= max_nodes - 1 or node = focus), "
-    "lcm as (select a.focus, a.radius, a.max_nodes, e.src, e.dst, e.rel from inner_edges e join nodes a on a.focus = e.focus and a.node = e.src "
+    "nodes as materialized (select focus, radius, max_nodes, node from ordered cross join sizes where n <= max_nodes or rank <= max_nodes - 1 or node = focus), "
+    "lcm as materialized (select a.focus, a.radius, a.max_nodes, e.src, e.dst, e.rel from inner_edges e join nodes a on a.focus = e.focus and a.node = e.src "
     "join nodes b on b.focus = a.focus and b.radius = a.radius and b.max_nodes = a.max_nodes and b.node = e.dst where e.rel not in ('has_subj', 'has_obj')), "
     "n_nodes as (select focus, radius, max_nodes, count(*) as n_nodes from nodes group by all), "
     "support as (select subj, obj, count(*) as support from triples group by all), "
@@ -135,17 +137,8 @@ def s2_first_characters(spark, d):
     return table(spark, d, "documents").select("doc_id", F.substring("text", 1, 12000).alias("text"))
 
 
-@query(f"with {TRIPLES_SQL} select topic, path, question from triples where seq % 3 = 0 union all select topic, path, 'why ' || subj from triples where seq % 3 = 0")
-def s5_question_file(spark, d):
-    t = _triples(spark, d).filter("seq % 3 = 0")
-    folder = scratch(spark, "questions")
-    writers.json_lines(t.select("topic", "path", F.array("question", F.concat(F.lit("why "), "subj")).alias("questions")), folder)
-    return readers.questions(spark, folder).select("topic", "path", "question")
-
-
 @query(f"with {TRIPLES_SQL} select topic, path, question from triples union all select topic, path, 'why ' || subj from triples")
-def s5_question_file_whole(spark, d):
-    """s5_question_file over all triples."""
+def s5_question_file(spark, d):
     folder = scratch(spark, "questions")
     writers.json_lines(_triples(spark, d).select("topic", "path", F.array("question", F.concat(F.lit("why "), "subj")).alias("questions")), folder)
     return readers.questions(spark, folder).select("topic", "path", "question")
@@ -347,10 +340,10 @@ def p16_short_and_slugs(spark, d):
     return table(spark, d, "documents").select("doc_id", X.shortened("text").alias("short"), X.run_slug(x).alias("run"), X.focus_slug(x).alias("focus"))
 
 
-@query("""select page_id, trim(replace(replace(replace('answer:' || substr(html, 1, 50) || '<|end|>', '<|end|>', ''), '<|assistant|>', ''), 'answer:', '')) as label, substr(sha256(html), 1, 12) as sha,
+@query("""select page_id, trim(replace(replace(replace('answer:' || html || '<|end|>', '<|end|>', ''), '<|assistant|>', ''), 'answer:', '')) as label, substr(sha256(html), 1, 12) as sha,
 regexp_matches(lower(url), '\\b(def|class|import|return|print)\\b|get_gpt_response|prompt\\):|\\bno other text\\b|#|\\{|\\}|\\[|\\]|::|;|=\\s*') as code from pages""")
 def p19_labels(spark, d):
-    raw = F.concat(F.lit("answer:"), F.substring("html", 1, 50), F.lit("<|end|>"))
+    raw = F.concat(F.lit("answer:"), "html", F.lit("<|end|>"))
     return table(spark, d, "pages").select("page_id", X.clean_label(raw).alias("label"), X.content_id("html").alias("sha"), X.is_code("url").alias("code"))
 
 

@@ -30,8 +30,15 @@ def local_models(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def report_table(df: DataFrame, path: str) -> None:
-    """One CSV file with a header, of a table of a report's size."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """CSV files with a header, one for each partition of df, so a large table is many tasks."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def json_document(df: DataFrame, path: str) -> None:
+    """One JSON array of the rows, in their order, of a frame behind a picture, such as hover
+    clusters: a few rows, which are brought together."""
+    rows = df.sparkSession.createDataFrame([("[" + ", ".join(df.toJSON().collect()) + "]",)], "value string")
+    rows.coalesce(1).write.mode("overwrite").text(path)
 
 
 def state(tables: dict[str, DataFrame], path: str) -> None:

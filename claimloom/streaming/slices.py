@@ -30,22 +30,61 @@ def merge_support(state: DataFrame | None, new: DataFrame) -> DataFrame:
     return both.groupBy("subj", "obj", "rel").agg(F.sum("support").alias("support"))
 
 
-def merge_slices(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Merge each batch of a triple stream into versions of the support table under path. A batch
-    writes the version of its own number from the one before, so one that is repeated after a
-    failure writes the same again."""
+#: Batches after which their counts are folded into a base.
+COMPACT = 50
+
+
+def _parts(spark: SparkSession, path: str) -> tuple[list[int], list[int]]:
+    """The numbers of the bases and of the batches that are complete under path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: dict[str, list[int]] = {"base": [], "batch": []}
+    for f in fs.listStatus(p) if fs.exists(p) else []:
+        kind, _, number = f.getPath().getName().partition("=")
+        done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS")
+        if kind in found and number.isdigit() and fs.exists(done):
+            found[kind].append(int(number))
+    return sorted(found["base"]), sorted(found["batch"])
+
+
+def _support(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame | None:
+    """The support of the newest base, and of the batches after it, up to one."""
+    bases, batches = _parts(spark, path)
+    bases = [b for b in bases if upto is None or b <= upto]
+    names = [f"{path}/base={b}" for b in bases[-1:]]
+    names += [f"{path}/batch={b}" for b in batches if (not bases or b > bases[-1]) and (upto is None or b <= upto)]
+    if not names:
+        return None
+    rows = spark.read.schema("subj string, obj string, rel string, support long").parquet(*names)
+    return rows.groupBy("subj", "obj", "rel").agg(F.sum("support").alias("support"))
+
+
+def _fold(spark: SparkSession, path: str, number: int) -> None:
+    """Write the base of all batches up to a number, and delete what the base before it has folded;
+    that base and its later batches stay for those who are reading them."""
+    bases, batches = _parts(spark, path)
+    _support(spark, path, number).write.mode("overwrite").parquet(f"{path}/base={number}")
+    old = [b for b in bases if b < number]
+    for name in [f"base={b}" for b in old[:-1]] + [f"batch={b}" for b in batches if old and b <= old[-1]]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def merge_slices(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True, compact: int = COMPACT) -> StreamingQuery:
+    """Add each batch of a triple stream to the support table under path. A batch writes its own
+    counts under its number, so one that is repeated after a failure writes the same again; every
+    `compact` batches they are folded into a base. No batch rewrites the table."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/version={number - 1}") if number else None
-        merge_support(before, batch).write.mode("overwrite").parquet(f"{path}/version={number}")
+        merge_support(None, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if number % compact == compact - 1:
+            _fold(batch.sparkSession, path, number)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def latest_support(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of the support table."""
-    versions = spark.read.option("basePath", path).parquet(path)
-    newest = versions.agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/version={newest}")
+    """The support table as of the last complete batch."""
+    found = _support(spark, path)
+    return spark.createDataFrame([], "subj string, obj string, rel string, support long") if found is None else found

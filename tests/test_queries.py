@@ -57,7 +57,7 @@ def test_registry():
 def test_question_file_over_all_triples(spark, sql):
     from claimloom.plans import queries
 
-    name = "s5_question_file_whole"
+    name = "s5_question_file"
     got = queries.QUERIES[name](spark, DATA)
     want = sql.execute(queries.ORACLE[name])
     names = [c[0] for c in want.description]
