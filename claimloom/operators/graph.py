@@ -153,14 +153,18 @@ def model_graph(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return listed.unionByName(ends).distinct(), edges
 
 
-def simplices(triples: DataFrame) -> DataFrame:
-    """(i, j, k, domain) of chained triples of one domain, as often as they chain. Equal pairs are
-    counted before they are joined, and the counts multiplied."""
+def simplex_counts(triples: DataFrame) -> DataFrame:
+    """(i, j, k, domain, n) of chained triples of one domain, and how often they chain. Equal pairs
+    are counted before they are joined, and the counts multiplied."""
     pairs = triples.groupBy("subj", "obj", "domain").agg(F.count("*").alias("n"))
     a = pairs.select(F.col("subj").alias("i"), F.col("obj").alias("j"), "domain", F.col("n").alias("n1"))
     b = pairs.select(F.col("subj").alias("j"), F.col("obj").alias("k"), "domain", F.col("n").alias("n2"))
-    both = a.join(b, ["j", "domain"])
-    return both.withColumn("n", F.explode(F.sequence(F.lit(1), (F.col("n1") * F.col("n2")).cast("int")))).select("i", "j", "k", "domain")
+    return a.join(b, ["j", "domain"]).select("i", "j", "k", "domain", (F.col("n1") * F.col("n2")).alias("n"))
+
+
+def simplices(triples: DataFrame) -> DataFrame:
+    """simplex_counts(), each as often as it chains."""
+    return simplex_counts(triples).withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("i", "j", "k", "domain")
 
 
 def triangles(edges: DataFrame) -> DataFrame:

@@ -515,7 +515,7 @@ def r2_claims_table(spark, d):
 
 @query(f"with {TRIPLES_SQL} select a.subj as i, a.obj as j, b.obj as k, a.domain, count(*) as n from triples a join triples b on a.obj = b.subj and a.domain = b.domain group by all")
 def g9_simplices(spark, d):
-    return G.simplices(_triples(spark, d)).groupBy("i", "j", "k", "domain").agg(F.count("*").alias("n"))
+    return G.simplex_counts(_triples(spark, d))
 
 
 @query(f"with {SWEEP_SQL}, e as (select distinct src, dst from lcm where radius = 1) select distinct t[1] as a, t[2] as b, t[3] as c from (select list_sort([x.src, x.dst, y.dst]) as t from e x join e y on x.dst = y.src where x.src <> y.dst)")
@@ -693,3 +693,123 @@ def j12_exported_points(spark, d):
     s = M.relational_state(_triples(spark, d))
     points = s["nodes"].select("id", F.array(F.lit(0.0), F.lit(0.0)).alias("xy"))
     return M.export_points(points, s["nodes"], M.node_labels(s["nodes"], s["edges"], s["dom"], "dom_id")).select("id", "label", "domain")
+
+
+# files, flags and inputs
+_FOREST_SQL = """forest as (select lower(r_name) as topic, null as parent, 0 as depth from region union all select lower(n_name), lower(r_name), 1 from nation join region on n_regionkey = r_regionkey
+union all select distinct lower(c_mktsegment || ' in ' || n_name), lower(n_name), 2 from customer join nation on c_nationkey = n_nationkey)"""
+
+
+@query(f"with {_FOREST_SQL} select topic, parent, depth from forest")
+def s4_topic_file(spark, d):
+    folder = scratch(spark, "topics")
+    writers.json_lines(fixtures.topic_forest(spark, d).select("topic", "parent", "depth"), folder)
+    return readers.topics(spark, folder).select("topic", "parent", "depth")
+
+
+@query(f"with {_FOREST_SQL} select topic, depth from forest")
+def k2_topic_list(spark, d):
+    folder = scratch(spark, "topic-list")
+    writers.topic_list(fixtures.topic_forest(spark, d), folder)
+    return spark.read.schema("topic string, depth int").csv(folder, sep="\t")
+
+
+@query(ORACLE["g8_state_edges"])
+def k6_stored_state(spark, d):
+    folder = scratch(spark, "state")
+    writers.state(M.relational_state(_triples(spark, d)), folder)
+    return readers.state(spark, folder)["edges"].select("seq", "i", "j", "dom_id")
+
+
+@query("select * from (values ('b', '2024-01-01T00-00-00'), ('a', '2024-01-02T00-00-00')) t(run_id, timestamp)")
+def s12_open_slices(spark, d):
+    folder, nodes = scratch(spark, "slices"), table(spark, d, "region").select(F.col("r_regionkey").alias("id"), F.lower("r_name").alias("value"))
+    for run in ("a", "b", "done"):
+        writers.append_slice({"nodes": nodes}, folder, run)
+    meta = spark.createDataFrame([("a", "2024-01-02T00-00-00", False), ("b", "2024-01-01T00-00-00", None), ("done", "2024-01-01T00-00-00", True), ("lost", "2024-01-01T00-00-00", False)], "run_id string, timestamp string, processed boolean")
+    return readers.open_slices(meta, spark.read.parquet(f"{folder}/nodes")).select("run_id", "timestamp")
+
+
+@query(f"with {SWEEP_SQL} select focus, radius, max_nodes, round(score, 6) as score from scores where n_edges >= 25 order by round(score, 9) desc, focus, radius, max_nodes limit 10")
+def f5_best_of_large_models(spark, d):
+    return S.top_models(_scores(spark, d)[0], 10, 25).select("focus", "radius", "max_nodes", F.round("score", 6).alias("score"))
+
+
+@query(f"with {SWEEP_SQL} select focus, radius, max_nodes, n_nodes, n_edges, round(score, 6) as score from scores")
+def f7_local_scores(spark, d):
+    nodes, lcm = _sweep(spark, d)
+    return S.text_scores(nodes, lcm, S.support(_triples(spark, d)), local_only=True).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {TRIPLES_SQL} select seq, subj, obj from triples where seq % 4 = 1")
+def f13_shard(spark, d):
+    return readers.shard(_triples(spark, d), 4, 1).select("seq", "subj", "obj")
+
+
+@query(f"with {EDGES_SQL} select node, degree from degrees where not regexp_matches(lower(trim(node)), '{V.CODE_FOCUS}') order by degree desc, node limit 40")
+def o2_plain_focus(spark, d):
+    return G.focus_nodes(_edges(spark, d), 40, True)
+
+
+@query(f"select doc_id, {_strip(f"substr({_squeezed("replace(coalesce(text, ''), '_', ' ')")}, 1, 96)")} as label from documents")
+def p20_hover_labels(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.hover_label("text").alias("label"))
+
+
+@query(f"with {SWEEP_SQL}, best as (select * from scores order by round(score, 9) desc, focus, radius, max_nodes limit 40) select focus, radius, max_nodes, n_nodes, n_edges from best")
+def j3_model_documents(spark, d):
+    scores, nodes, lcm = _scores(spark, d)
+    found = G.documents_of(S.top_models(scores, 40), cut(G.lcm_documents(nodes, lcm), "documents"))
+    return found.select("focus", "radius", "max_nodes", F.size("nodes").alias("n_nodes"), F.size("edges").alias("n_edges"))
+
+
+@query(
+    f"with {SWEEP_SQL}, e as (select distinct src, dst from lcm where radius = 1), deg as (select node, count(*) as degree from (select src as node from e union all select dst from e) group by 1), "
+    "dom as (select node, min(domain) as d from (select subj as node, domain from triples union all select obj, domain from triples) group by 1), named as (select deg.node, degree, coalesce(d, 'Unknown') as d from deg left join dom using (node)) "
+    "select node, degree, (dense_rank() over (order by d) - 1)::int as domain_id from named"
+)
+def g10_node_features(spark, d):
+    domains = _triples(spark, d).select(F.explode(F.array("subj", "obj")).alias("node"), "domain")
+    return G.simplicial_inputs(_sweep(spark, d)[1].filter("radius = 1"), domains)[0]
+
+
+@query(
+    f"with {CLAIMS_SQL}, t as (select round(credibility, 9) as credibility, src, rel, dst, support_count from claims), r as (select *, case when credibility >= 0.6 then 1 when credibility >= 0.3 then 2 else 3 end as tier from t), "
+    "n as (select *, row_number() over (partition by tier order by credibility desc, support_count desc, src, rel, dst) as rank from r) select tier, rank::int as rank, src, rel, dst, credibility, support_count from n where rank <= 10"
+)
+def r4_tiers_unfolded(spark, d):
+    c = cut(_claims(spark, d).withColumn("credibility", F.round("credibility", 9)), "claims")
+    return R.tier_table(c, folded=False).select("tier", "rank", "src", "rel", "dst", "credibility", "support_count")
+
+
+@query("with v as (select vec_id, unnest(range(0, len(embedding))) as i, unnest(embedding)::double as x from embeddings) select i::int as i, round(avg(x), 6) as x from v group by i")
+def a23_mean_vector(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("h"))
+    return M.mean_vector(v, 64).select(F.posexplode("h").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+@query("""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as h from embeddings), p as (select a.vec_id as id, b.vec_id as other, list_distance(a.h, b.h) as distance from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 25 = 0),
+r as (select *, row_number() over (partition by id order by round(distance, 9), other) as rank from p) select id, rank::int as rank, other, round(distance, 6) as distance from r where rank <= 5""")
+def n8_nearest(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("h"))
+    return M.nearest(v, v.filter("id % 25 = 0"), 5, "euclidean").withColumn("distance", F.round("distance", 6))
+
+
+@query()
+def n5_simplicial_layer(spark, d):
+    s = M.relational_state(_triples(spark, d))
+    v = cut(s["nodes"].select("id", M.hashed_vectors("value", 16).alias("h")), "vectors")
+    e = s["edges"].select(F.col("i").alias("src"), F.col("j").alias("dst"))
+    return M.simplicial_layer(v, s["edges"], G.triangles(e), 16)
+
+
+@query()
+def n8_neighbour_layout(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("h"))
+    return M.neighbour_layout(v, 64, metric="euclidean")
+
+
+@query("select 'questions' as stage, count(*) as prompts, 0::bigint as failed, 0::bigint as prompt_tokens, 0::bigint as completion_tokens from nation")
+def k11_usage(spark, d):
+    asked = table(spark, d, "nation").select(X.question_prompt(F.array("n_name")).alias("prompt"))
+    return L.usage_log(L.answered(asked, L.StubClient), "questions").drop("at")

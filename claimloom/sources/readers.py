@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import pdf
 from ..functions import text as X
 
 TOPICS = "topic string, parent string, depth int"
@@ -125,9 +126,10 @@ def guide(spark: SparkSession, path: str | None) -> str:
 
 def documents(spark: SparkSession, folder: str, extract: Callable[[bytes], list[str]] | None = None, most: int | None = None, pages: int | None = None, glob: str = "*.pdf", first: int | None = None) -> DataFrame:
     """(name, sha, text) of the files of a folder. extract: from a file's bytes to its pages; the
-    default takes UTF-8 text. pages and most: only the first of them, and of their characters. A
+    default reads PDF files as such and takes others for UTF-8 text. pages and most: only the first of them, and of their characters. A
     file that cannot be read has an empty text. first: only so many files, by name."""
-    take = extract or (lambda data: [data.decode("utf-8", "replace")])
+    take = extract or (lambda data: pdf.pages(data) if pdf_files else [data.decode("utf-8", "replace")])
+    pdf_files = glob.lower().endswith(".pdf")
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     if first is not None:
