@@ -94,9 +94,13 @@ EDGES_SQL = (
     f"foci as (select node from degrees order by degree desc, node limit {FOCI})"
 )
 SWEEP_SQL = (
-    EDGES_SQL + ", reach as (select focus, node, min(hop) as hop from (select node as focus, node, 0 as hop from foci "
-    "union all select f.node, e.dst, 1 from foci f join edges e on e.src = f.node "
-    "union all select f.node, e2.dst, 2 from foci f join edges e1 on e1.src = f.node join edges e2 on e2.src = e1.dst) group by 1, 2), "
+    EDGES_SQL
+    + ", reach0 as materialized (select node as focus, node, 0 as hop from foci), "
+    + "".join(
+        f"reach{h} as materialized (select focus, node, min(hop) as hop from (select * from reach{h - 1} union all select r.focus, e.dst, {h} from reach{h - 1} r join edges e on e.src = r.node where r.hop = {h - 1}) group by 1, 2), "
+        for h in range(1, max(RADII) + 1)
+    )
+    + f"reach as (select * from reach{max(RADII)}), "
     "inner_edges as materialized (select a.focus, e.src, e.dst, e.rel, greatest(a.hop, b.hop) as enter from edges e join reach a on a.node = e.src join reach b on b.focus = a.focus and b.node = e.dst), "
     f"radii as (select unnest({RADII}) as radius), sizes as (select unnest({SIZES}) as max_nodes), "
     "inner_degrees as (select focus, radius, node, count(*) as degree from (select focus, src as node, enter from inner_edges union all select focus, dst, enter from inner_edges) join radii on enter <= radius group by 1, 2, 3), "
