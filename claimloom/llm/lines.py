@@ -18,7 +18,8 @@ down; what a block of lines has joined is handed on as stars. A key of over SIDE
 into blocks of lines, each pair of which is a task's work.
 
 Equal lines are folded within each batch and then by 128-bit hash before they are joined, so
-a line that comes a million times is indexed once a batch. Rows travel as packed arrays.
+a line that comes a million times is indexed once a batch. Rows travel as packed arrays. The
+texts of lines that are to be verified are brought by a shuffle at every size.
 
 Defined cases. Lines end at a line feed. Lines of white space only stay, and are not counted.
 Null texts have no lines. Rows with the same doc_id are one document to the order, by the
@@ -45,8 +46,9 @@ EDITS, LEAST, BLOCK = 2, 20, 1 << 20
 #: matrices in which pairs are verified at once; lines of a key's block; rows, and pairs, met at once.
 PART_BYTES, CUT, CELLS, SIDE, ROWS, PAIRS = 16_000_000, 1 << 22, 1 << 20, 2048, 8192, 1 << 18
 _LINE = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("line", "<i4")])
-_KEY = np.dtype([("key", "<u8"), ("a", "<u8"), ("b", "<u8")])
-_MET = np.dtype([("key", "<u8"), ("a", "<u8"), ("b", "<u8"), ("probes", "<i4"), ("block", "<i4"), ("other", "<i4")])
+#: A key, and 96 bits of a line's hash.
+_KEY = np.dtype([("key", "<u8"), ("a", "<u8"), ("b", "<u4")])
+_MET = np.dtype([("key", "<u8"), ("a", "<u8"), ("b", "<u4"), ("probes", "<i4"), ("block", "<i4"), ("other", "<i4")])
 
 
 def segment(length: np.ndarray, i: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +106,8 @@ def probes(k: int) -> list[tuple[int, int, int]]:
 
 def met(index: np.ndarray, probe: np.ndarray, side: int = SIDE) -> np.ndarray:
     """The rows of keys that an index row and a probe row of different lines have, in blocks of
-    `side` lines: each block of the index beside each of the probes."""
+    `side` lines: each block of the index beside each of the probes. An index row is a probe of
+    its own key, too, which is not sent again."""
     rows = np.zeros(len(index) + len(probe), _MET)
     for c in _KEY.names:
         rows[c] = np.concatenate([index[c], probe[c]])
@@ -116,7 +119,10 @@ def met(index: np.ndarray, probe: np.ndarray, side: int = SIDE) -> np.ndarray:
     several = np.zeros(len(first), bool)  # most keys are of one line, which meets itself
     for c in ("a", "b"):
         several |= np.minimum.reduceat(rows[c], first) != np.maximum.reduceat(rows[c], first)
-    rows = np.unique(rows[np.repeat(several, np.diff(np.append(first, len(rows))))])
+    rows = rows[np.repeat(several, np.diff(np.append(first, len(rows))))]
+    also = rows[rows["probes"] == 0]
+    also["probes"] = 1
+    rows = np.unique(np.concatenate([rows, also]))
     if not len(rows):
         return rows
     rows = rows[np.lexsort((rows["b"], rows["a"], rows["probes"], rows["key"]))]
@@ -249,9 +255,11 @@ def _cut_lines(k: int, least: int, parts: int):
         some = [i for i, again in zip(order, same) if not again and len(lines[i]) >= least]
         out = packed(r[~same], (r["a"][~same] % np.uint64(parts)).astype(np.int64), 0) + packed(r[same], (mixed(r["doc"][same].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), 1)
         own = r[~same & (np.array([len(lines[i]) for i in order], np.int64) >= least)]
-        for kind, x in zip((2, 3), line_keys([lines[i] for i in some], k)):
+        index, probe = line_keys([lines[i] for i in some], k)
+        for kind, x in ((2, index), (3, probe[:, [delta > 0 or shift != 0 for delta, _, shift in probes(k)]])):
             rows_ = np.empty(x.size, _KEY)
-            rows_["key"], rows_["a"], rows_["b"] = x.ravel(), np.repeat(own["a"], x.shape[1]), np.repeat(own["b"], x.shape[1])
+            rows_["key"], rows_["a"] = x.ravel(), np.repeat(own["a"], x.shape[1])
+            rows_["b"] = np.repeat(own["b"] & np.uint64(0xFFFFFFFF), x.shape[1])
             out += packed(rows_, (rows_["key"] % np.uint64(parts)).astype(np.int64), kind)
         return out
 
@@ -284,7 +292,7 @@ def _rows(marks: DataFrame, kind: int, dtype: np.dtype, fields: dict[str, str])
         for b in batches:
             for x in b.column("packed").to_pylist():
                 r = np.frombuffer(x, dtype)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r[f]).view(np.int64) if r[f].dtype.itemsize == 8 else np.ascontiguousarray(r[f])) for f in fields], list(fields))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(r[f]).view(np.int64) if r[f].dtype.itemsize == 8 else r[f].astype(np.int64 if r[f].dtype == np.uint32 else np.int32)) for f in fields], list(fields))
 
     return marks.filter(F.col("kind") == kind).mapInArrow(run, ", ".join(f"{f} {t}" for f, t in fields.items()))
 
@@ -358,11 +366,13 @@ def line_classes(docs: DataFrame, k: int = EDITS, least: int = LEAST) -> tuple[D
     shape = {"a": "long", "b": "long", "doc": "long", "line": "int"}
     firsts, again = _rows(marks, 0, _LINE, shape), _rows(marks, 1, _LINE, shape)
     looked = _rows(marks, 4, _MET, {"key": "long", "a": "long", "b": "long", "probes": "int", "block": "int", "other": "int"})
-    asked = firsts.join(looked.select("a", "b").distinct(), ["a", "b"])
-    want = written(asked.groupBy("doc").agg(F.collect_list(F.struct("a", "b", "line")).alias("want")), "lines-want")  # of known size, so Spark sends it to the texts if it is small
-    brought = rows.join(want, "doc").select("doc", "text", "want").mapInArrow(_some_lines, "a long, b long, doc long, line int, text string")
+    looked = looked.withColumnRenamed("b", "b4")
+    low = F.col("b").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b4")
+    asked = firsts.select("*", low).join(looked.select("a", "b4").distinct(), ["a", "b4"])
+    want = written(asked.groupBy("doc").agg(F.collect_list(F.struct("a", "b", "line")).alias("want")), "lines-want")
+    brought = rows.join(want.hint("merge"), "doc").select("doc", "text", "want").mapInArrow(_some_lines, "a long, b long, doc long, line int, text string")
     texts = written(brought.withColumn("id", F.monotonically_increasing_id()), "lines-texts")
-    beside = looked.join(texts.select("a", "b", "id", "text"), ["a", "b"]).select("key", "block", "other", "probes", "id", "text")
+    beside = looked.join(texts.select("a", low, "id", "text"), ["a", "b4"]).select("key", "block", "other", "probes", "id", "text")
     dealt = beside.repartition("key", "block", "other").sortWithinPartitions("key", "block", "other")
     found = written(dealt.mapInArrow(_linked(k), "u long, v long, n long"), "lines-links")
     roots = components(found.filter("v is not null").select("u", "v"))

@@ -14,7 +14,7 @@ Defined cases. Strictly earlier counts: a response of the same second is not fou
 responses of one second the one with the largest record id is the latest. ETags are compared
 weakly; without an ETag on both sides Last-Modified decides; without either on both sides the
 revisit is `unvalidated`, and resolved. Null URLs and dates resolve to nothing (`missing`).
-Names of header fields are taken in lower case; of a field that comes twice the last one counts.
+Names of header fields are taken in lower case; of several spellings of one the last counts, by code point.
 A response without a record id gives headers and no payload; of several with one id, the payload
 with the least SHA-256. Repeated rows are resolved alike. An empty table gives an empty table.
 """
@@ -63,8 +63,9 @@ def _agree(mine: Column, theirs: Column) -> Column:
 
 
 def lower_names(headers: str) -> Column:
-    """A map of header fields with their names in lower case, the last one of each."""
-    named = F.transform(F.map_entries(headers), lambda x: F.struct(F.lower(x["key"]).alias("key"), x["value"].alias("value")))
+    """A map of header fields with their names in lower case; of several spellings the last one, by
+    code point."""
+    named = F.transform(F.array_sort(F.map_entries(headers)), lambda x: F.struct(F.lower(x["key"]).alias("key"), x["value"].alias("value")))
     later = lambda x, i: F.exists(F.slice(named, i + 2, F.greatest(F.size(named), F.lit(1))), lambda y: y["key"] == x["key"])
     return F.map_from_entries(F.filter(named, lambda x, i: ~later(x, i)))
 

@@ -34,14 +34,16 @@ def test_no_link_is_lost(k):
     some = sorted({"".join(r.choice("ab") for _ in range(r.randint(k + 1, 12))) for _ in range(250)})
     n = len(some)
     keyed = []
-    for x in lines.line_keys(some, k):
+    sent = [delta > 0 or shift != 0 for delta, _, shift in lines.probes(k)]
+    index, probe = lines.line_keys(some, k)
+    for x in (index, probe[:, sent]):
         r = np.zeros(x.size, lines._KEY)
         r["key"], r["a"] = x.ravel(), np.repeat(np.arange(n), x.shape[1])
         keyed.append(r)
     want = {(a, b) for a in range(n) for b in range(a) if distance(some[a], some[b]) <= k}
     for side in (2048, 7):
         rows = lines.met(*keyed, side)
-        assert len(lines.met(*keyed)) < len(keyed[0]) + len(keyed[1]) and len(want) > 50
+        assert len(lines.met(*keyed)) <= 2 * len(keyed[0]) + len(keyed[1]) and len(want) > 50
         _, group = np.unique(rows[["key", "block", "other"]], return_inverse=True)
         size = np.bincount(group)
         assert size.max() <= 2 * side
