@@ -28,3 +28,18 @@ def test_triangles_of_edges_need_no_rows(spark, most):
     for r in M.triangle_sums(v, e.distinct(), 3, most).collect():
         sums[r["to"]] -= np.array(r["h"])
     assert max(abs(x).max() for x in sums.values()) < 1e-9
+
+
+def test_simplices_leave_the_join_as_arrays(spark):
+    from collections import Counter
+
+    from claimloom.operators import graph as G
+
+    rows = [(f"n{i * i % 11}", f"n{i * 7 % 12}", "ab"[i % 2]) for i in range(150)]
+    t = spark.createDataFrame(rows, "subj string, obj string, domain string")
+    want = Counter((a, b, d, e) for a, b, e in rows for c, d, f in rows if b == c and e == f)
+    for chunk in (4096, 3):
+        found = G.simplex_counts(t, chunk)
+        assert {tuple(r)[:4]: r["n"] for r in found.collect()} == want and found.count() == len(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" in plan
