@@ -43,3 +43,51 @@ def test_simplices_leave_the_join_as_arrays(spark):
         assert {tuple(r)[:4]: r["n"] for r in found.collect()} == want and found.count() == len(want)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" in plan
+
+
+def test_hashed_vectors_split_a_text_once(spark):
+    from claimloom.operators import manifold as M
+
+    df = spark.createDataFrame([("Red widget, red",), ("",), (None,), ("a b c d e",)], "t string").select("t", M.hashed_vectors("t", 4).alias("h"))
+    for r in df.collect():
+        assert np.isclose(np.linalg.norm(r["h"]), 1.0 if r["t"] else 0.0)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_nearest_in_small_pieces(spark, metric):
+    from claimloom.operators import manifold as M
+
+    rng = np.random.default_rng(5)
+    x = np.round(rng.standard_normal((700, 3)), 1)  # many ties and copies
+    x[:40] = x[40]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, h array<double>").repartition(2)
+    if metric == "cosine":
+        u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        d = 1 - u @ u.T
+    else:
+        d = np.sqrt(np.maximum(0, ((x[:, None] - x[None]) ** 2).sum(2)))
+    np.fill_diagonal(d, np.inf)
+    want = {i: np.sort(np.round(r, 7))[:6] for i, r in enumerate(d)}
+    for block, cells in ((100, 300), (20000, 2_000_000)):
+        got = M.nearest(v, v, 6, metric, block, cells).orderBy("id", "rank").toPandas()
+        assert len(got) == 700 * 6 and (got["id"] != got["other"]).all()
+        for i, g in got.groupby("id"):
+            assert np.allclose(g["distance"], want[i], atol=1e-6) and g["other"].is_unique
+            assert np.allclose(d[i][g["other"]], want[i], atol=1e-6)
+
+
+def test_nearest_holds_few_distances():
+    import tracemalloc
+
+    import pandas as pd
+
+    from claimloom.operators import manifold as M
+
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((6000, 8))
+    batch = pd.DataFrame({"id": np.arange(6000), "h": list(x)})
+    tracemalloc.start()
+    list(M._nearest_of(np.arange(2000), x[:2000], 5, "cosine", 200_000)(iter([batch])))
+    assert tracemalloc.get_traced_memory()[1] < 40e6  # all distances of the batch are 96 MB
+    tracemalloc.stop()
