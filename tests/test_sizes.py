@@ -91,3 +91,35 @@ def test_nearest_holds_few_distances():
     list(M._nearest_of(np.arange(2000), x[:2000], 5, "cosine", 200_000)(iter([batch])))
     assert tracemalloc.get_traced_memory()[1] < 40e6  # all distances of the batch are 96 MB
     tracemalloc.stop()
+
+
+def test_sweep_makes_no_row_for_each_focus_and_edge(spark, monkeypatch):
+    from collections import Counter
+
+    from claimloom.operators import graph as G
+
+    rng = np.random.default_rng(8)
+    pairs = sorted({(f"n{a:02d}", f"n{b:02d}") for a, b in rng.integers(0, 90, (700, 2))} | {("n01", "n01"), ("n01", "x"), ("y", "n01")})
+    edges = [(a, b, "leads_to" if (i % 5) else "has_subj", i % 5 == 0) for i, (a, b) in enumerate(pairs)]
+    e = spark.createDataFrame(edges, "src string, dst string, rel string, anchor boolean")
+    names = [f"n{i:02d}" for i in range(70)]  # more than a word of bits
+    written, plain = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df, name: (lambda out: (written.append(out.count()), out)[1])(plain(df, name)))
+    nodes, lcm = G.sweep(e, spark.createDataFrame([(n,) for n in names], "node string"), [1, 2], [4, 9])
+    got_nodes, got_edges = {tuple(r) for r in nodes.collect()}, {tuple(r) for r in lcm.collect()}
+    assert max(written) <= 2 * len(names) * 9  # models and their nodes; all edges of all foci are over 20,000
+    want_nodes, want_edges = set(), set()
+    for f in names:
+        hop, front = {f: 0}, {f}
+        for k in (1, 2):
+            front = {d for s, d, _, _ in edges if s in front} - set(hop)
+            hop |= {n: k for n in front}
+        for r in (1, 2):
+            inside = {n for n, h in hop.items() if h <= r}
+            deg = Counter(x for s, d, _, _ in edges if s in inside and d in inside for x in (s, d))
+            order = sorted(inside, key=lambda n: (-deg[n], n))
+            for m in (4, 9):
+                keep = inside if len(order) <= m else {*order[: m - 1], f}
+                want_nodes |= {(f, r, m, n) for n in keep}
+                want_edges |= {(f, r, m, s, d, x) for s, d, x, anchor in edges if not anchor and s in keep and d in keep}
+    assert got_nodes == want_nodes and got_edges == want_edges
