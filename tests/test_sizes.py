@@ -123,3 +123,22 @@ def test_sweep_makes_no_row_for_each_focus_and_edge(spark, monkeypatch):
                 want_nodes |= {(f, r, m, n) for n in keep}
                 want_edges |= {(f, r, m, s, d, x) for s, d, x, anchor in edges if not anchor and s in keep and d in keep}
     assert got_nodes == want_nodes and got_edges == want_edges
+
+
+def test_mined_topics_count_only_what_may_win(spark, monkeypatch):
+    from claimloom.operators import topics as P
+
+    rng = np.random.default_rng(9)
+    vocabulary = [f"{a}{b}{c}word" for a in "abcd" for b in "efgh" for c in "ijkl"] + ["blue-bolt", "blue", "bolt"]
+    docs = [(i, " ".join(vocabulary[min(int(x), len(vocabulary) - 1)] for x in rng.exponential(12, 60)) + f" only{'abcdefghij'[i % 10]}once{'klmnopqrst'[i // 10]}") for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    written, plain = {}, P.cut
+    monkeypatch.setattr(P, "cut", lambda d, name: (lambda out: (written.setdefault(name, []).append(out.count()), out)[1])(plain(d, name)))
+    want = [tuple(r) for r in P.mined_topics(df).orderBy("rank").collect()]  # all slots
+    everything = max(written["phrases"])
+    for slots, first in ((1 << 20, 64), (512, 8), (7, 3)):
+        written.clear()
+        got = [tuple(r) for r in P.mined_topics(df, slots=slots, first=first).orderBy("rank").collect()]
+        assert got == want
+        if slots == 1 << 20:
+            assert max(written["phrases"]) < everything / 4
